@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, packing, warc
+from . import chat, fingerprints, langid, linededup, packing, quality, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op3_language_id": langid.op3_language_id,
+    "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
+    "op6_substring_dedup": linededup.op6_substring_dedup,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 SQL = {
     "op1_warc": warc.SQL,
+    "op6_substring_dedup": linededup.SQL,
 }

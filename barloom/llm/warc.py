@@ -247,7 +247,7 @@ def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0, chunk_
     """Write archives to the shared folder, then return their chunked record table."""
     scratch = Scratch(spark, "warc")
     manifest = scratch.keep(write_archives(spark, pages, scratch.path("archives"), min_bytes, chunk_bytes), "manifest")
-    return read_chunks(manifest.repartition("archive"), chunk_bytes)
+    return read_chunks(manifest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "archive"), chunk_bytes)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
