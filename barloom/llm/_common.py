@@ -5,11 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no ``spark.checkpoint.dir`` (tests, local mode).
 FALLBACK_DIR = "file:///tmp/barloom-checkpoints"
+#: Texts are taken in parts of about so many bytes (a longer text is a part of its own).
+PART_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,3 +53,15 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def text_parts(column: pa.Array, size: int = PART_BYTES):
+    """``(first row, bytes, start of each row, length of each row)`` of bounded parts of a string column."""
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+        yield lo, data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo], np.diff(offsets[lo : hi + 1])
+        lo = hi

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, langid, linededup, packing, quality, warc
+from . import chat, fingerprints, langid, linededup, ngramjoin, packing, quality, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_ngram_jaccard_join": ngramjoin.op2_ngram_jaccard_join,
     "op3_language_id": langid.op3_language_id,
     "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
     "op6_substring_dedup": linededup.op6_substring_dedup,
@@ -16,5 +17,6 @@ QUERIES = {
 
 SQL = {
     "op1_warc": warc.SQL,
+    "op2_ngram_jaccard_join": ngramjoin.SQL,
     "op6_substring_dedup": linededup.SQL,
 }

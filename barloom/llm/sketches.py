@@ -16,15 +16,19 @@ class IdBitmap:
         self.shared, self.bits = spark.sparkContext.broadcast(words), bits
 
     @classmethod
-    def of(cls, ids: DataFrame, column: str, bits: int = BITMAP_BITS) -> IdBitmap:
-        """At most ``2 ** (bits - 6)`` words reach the driver."""
-        slot = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    def of(cls, ids: DataFrame, column: str, bits: int = BITMAP_BITS, hashed: bool = False) -> IdBitmap:
+        """``hashed``: the ids are hashes, tested by ``has``.  At most ``2 ** (bits - 6)`` words reach the driver."""
+        slot = F.col(column).bitwiseAND((1 << bits) - 1) if hashed else F.pmod(F.xxhash64(column), F.lit(1 << bits))
         words = ids.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr("1L").alias("one"), slot.bitwiseAND(63).cast("int").alias("b"))
         found = words.groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.col("one"), F.col("b"))).alias("v")).toArrow()
         out = np.zeros(1 << (bits - 6), np.int64)
         out[found.column("w").to_numpy()] = found.column("v").to_numpy()
         return cls(out, bits, ids.sparkSession)
 
+    def has(self, hashed_id: int) -> bool:
+        slot = hashed_id & ((1 << self.bits) - 1)
+        return bool(int(self.shared.value[slot >> 6]) >> (slot & 63) & 1)
+
     def test(self, slots: np.ndarray) -> np.ndarray:
         words = self.shared.value
         return (words[slots >> 6] >> (slots & 63) & 1).astype(bool)
