@@ -1,18 +1,22 @@
 """Line deduplication: units repeated anywhere in the corpus are kept once.
 
 A unit is a line (or, with ``separator="\\n\\n"``, a paragraph) of at least
-``MIN_WORDS`` words; it is normalised (lower case, runs of white space as one
+``MIN_WORDS`` words, and within a line of several sentences each sentence of at least
+``MIN_SENTENCE`` words: passages that were pasted into a line are found by the sentences
+inside them.  A unit is normalised (lower case, runs of white space as one
 space) and hashed to 128 bits.  Digests are grouped globally: the occurrence with
-the smallest ``(doc_id, unit_no)`` stays and all others are removed, with their
-character offsets in the original text.  Shorter units are never removed.
+the smallest ``(doc_id, offset)`` stays and all others are removed, with their
+character offsets in the original text.  Shorter units are never removed.  The first
+line with a given text has the first of each of its sentences, so nothing is lost
+by removing both.
 
 Only numbers are shuffled until the removed spans of each document are joined to
 its text.  The grouping combines before its shuffle; the join back from the
 repeated digests is a plain sort-merge join that Spark splits where a digest is
 hot.  Nothing else is gathered by digest.
 
-A document's text without the removed units keeps the separators between the
-units that stay.  Null texts stay null; empty texts have no units; documents that share
+A document's text without the removed units keeps the separators between the units that
+stay; a line whose sentences are all removed goes with its separator.  Null texts stay null; empty texts have no units; documents that share
 an id are told apart by a hash of their text, and the rows of one text under one id
 count as one occurrence, so none of them loses it to another; a null id ranks first.
 Empty tables give no rows.  Other columns are carried along by ``dedup_table``.
@@ -21,6 +25,7 @@ Empty tables give no rows.  Other columns are carried along by ``dedup_table``.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +35,35 @@ from pyspark.sql import functions as F
 from ._common import batch, map_batches, table
 
 MIN_WORDS = 5
+MIN_SENTENCE = 8
 SEPARATOR = "\n"
 _LOWEST = -(2**63)
 
-UNITS = "k long, t long, unit_no int, begin int, stop int, h1 long, h2 long"
-_UNITS = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("unit_no", pa.int32()), ("begin", pa.int32()), ("stop", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+UNITS = "k long, t long, begin int, stop int, h1 long, h2 long"
+_UNITS = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("begin", pa.int32()), ("stop", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+_SENTENCE_END = re.compile(r"(?<=[.!?]) ")
 
 
 def split_units(text: str, separator: str = SEPARATOR, min_words: int = MIN_WORDS):
-    """``(unit_no, begin, stop, digest)`` of each unit that counts; offsets in code points."""
+    """``(begin, stop, digest)`` of each unit that counts; offsets in code points."""
     begin = 0
-    for no, unit in enumerate(text.split(separator)):
-        words = unit.lower().split()
+    for line in text.split(separator):
+        words = line.lower().split()
         if len(words) >= min_words:
-            yield no, begin, begin + len(unit), hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
-        begin += len(unit) + len(separator)
+            yield begin, begin + len(line), _digest(words)
+            sentences = _SENTENCE_END.split(line)
+            if len(sentences) > 1:
+                at = begin
+                for sentence in sentences:
+                    words = sentence.lower().split()
+                    if len(words) >= MIN_SENTENCE:
+                        yield at, at + len(sentence), _digest(words)
+                    at += len(sentence) + 1
+        begin += len(line) + len(separator)
+
+
+def _digest(words: list[str]) -> bytes:
+    return hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -57,10 +76,10 @@ def units(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MIN_WORD
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                columns, digests = ([], [], [], [], []), []
+                columns, digests = ([], [], [], []), []
                 for k, t, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    for no, begin, stop, digest in split_units(text, separator, min_words):
-                        for column, v in zip(columns, (k, t, no, begin, stop)):
+                    for begin, stop, digest in split_units(text, separator, min_words):
+                        for column, v in zip(columns, (k, t, begin, stop)):
                             column.append(v)
                         digests.append(digest)
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
@@ -70,24 +89,30 @@ def units(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MIN_WORD
 
 
 def removed_spans(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MIN_WORDS) -> DataFrame:
-    """``k, t, spans`` of every document that loses a unit; spans are ``(begin, stop, unit_no, first_doc_id)`` in order."""
+    """``k, t, spans`` of every document that loses a unit; spans are ``(begin, stop, first_doc_id)`` in order."""
     found = units(docs, separator, min_words)
-    place = F.struct("k", "unit_no", "t")
+    place = F.struct("k", "begin", "t")
     repeated = found.select("h1", "h2", place.alias("p")).groupBy("h1", "h2").agg(F.min("p").alias("first"), F.max("p").alias("other")).filter("first <> other").drop("other")
-    later = found.join(repeated, ["h1", "h2"]).filter((F.col("k") > F.col("first.k")) | (F.col("k") == F.col("first.k")) & ((F.col("unit_no") > F.col("first.unit_no")) | (F.col("t") > F.col("first.t")) & (F.col("unit_no") == F.col("first.unit_no"))))
+    later = found.join(repeated, ["h1", "h2"]).filter(place > F.col("first"))
     first = F.when(F.col("first.k") != _LOWEST, F.col("first.k"))
     # one text's own units: bounded by the text, not by the corpus
-    return later.groupBy("k", "t").agg(F.sort_array(F.collect_set(F.struct("begin", "stop", "unit_no", first.alias("first_doc_id")))).alias("spans"))
+    return later.groupBy("k", "t").agg(F.sort_array(F.collect_set(F.struct("begin", "stop", first.alias("first_doc_id")))).alias("spans"))
 
 
 def without_spans(text: str, spans: list[tuple[int, int]], separator: str = SEPARATOR) -> str:
-    """``text`` less the spans, each with one separator beside it."""
-    gone = dict(spans)
+    """``text`` less the spans, each with one separator (or space) beside it."""
+    gone = set(spans)
     kept, begin = [], 0
-    for unit in text.split(separator):
-        if gone.get(begin) != begin + len(unit):
-            kept.append(unit)
-        begin += len(unit) + len(separator)
+    for line in text.split(separator):
+        if (begin, begin + len(line)) not in gone:
+            at, sentences, stay = begin, _SENTENCE_END.split(line), []
+            for sentence in sentences:
+                if (at, at + len(sentence)) not in gone:
+                    stay.append(sentence)
+                at += len(sentence) + 1
+            if stay:
+                kept.append(" ".join(stay))
+        begin += len(line) + len(separator)
     return separator.join(kept)
 
 
@@ -107,6 +132,14 @@ def dedup_table(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MI
     return map_batches(joined, run, schema)
 
 
+def keep_first_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` (with ``n_chars``) less all repeated lines; a text of which nothing is left goes."""
+    out = dedup_table(docs)
+    left = F.col("removed").isNull() | ~F.col("text").rlike(r"\A\s*\z")
+    kind = docs.schema["n_chars"].dataType
+    return out.filter(left).withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind))).select(*docs.columns)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
     out = dedup_table(docs)
@@ -124,31 +157,47 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = rf"""
 WITH line AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit_no
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
   FROM documents WHERE text IS NOT NULL
 ),
 placed AS (
-  SELECT doc_id, unit, unit_no,
-         sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY unit_no) - length(unit) - 1 AS begin_at,
-         trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm
+  SELECT doc_id, line, line_no, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) - 1 AS begin_at,
+         string_split(regexp_replace(line, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS parts
   FROM line
 ),
+part AS (SELECT doc_id, line_no, begin_at, len(parts) AS n_parts, unnest(parts) AS part, generate_subscripts(parts, 1) AS part_no FROM placed),
+sentence AS (
+  SELECT doc_id, line_no, n_parts, part, part_no,
+         begin_at + sum(length(part) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY part_no) - length(part) - 1 AS begin_at
+  FROM part
+),
+unit AS (
+  SELECT doc_id, line_no, 0 AS part_no, begin_at, begin_at + length(line) AS stop_at, line AS unit, {MIN_WORDS} AS least FROM placed
+  UNION ALL
+  SELECT doc_id, line_no, part_no, begin_at, begin_at + length(part), part, {MIN_SENTENCE} FROM sentence
+  WHERE n_parts > 1 AND (doc_id, line_no) IN (SELECT (doc_id, line_no) FROM placed WHERE len(string_split(trim(regexp_replace(lower(line), '\s+', ' ', 'g')), ' ')) >= {MIN_WORDS})
+),
+norm AS (SELECT *, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm FROM unit),
 ranked AS (
-  SELECT *, CASE WHEN len(string_split(norm, ' ')) >= {MIN_WORDS}
-                 THEN first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, unit_no) END AS first_id,
-         CASE WHEN len(string_split(norm, ' ')) >= {MIN_WORDS}
-              THEN row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit_no) ELSE 1 END AS occurrence
-  FROM placed
+  SELECT *, first_value(doc_id) OVER w AS first_id, row_number() OVER w > 1 AS gone FROM norm
+  WHERE len(string_split(norm, ' ')) >= least WINDOW w AS (PARTITION BY norm ORDER BY doc_id, begin_at)
+),
+left_over AS (
+  SELECT s.doc_id, s.line_no, string_agg(s.part, ' ' ORDER BY s.part_no) FILTER (NOT coalesce(r.gone, false)) AS line
+  FROM sentence s LEFT JOIN ranked r ON r.doc_id = s.doc_id AND r.line_no = s.line_no AND r.part_no = s.part_no
+  GROUP BY s.doc_id, s.line_no
 ),
 clean AS (
-  SELECT doc_id,
-         coalesce(string_agg(unit, chr(10) ORDER BY unit_no) FILTER (occurrence = 1), '') AS text,
-         count(*) FILTER (occurrence > 1) AS n_removed,
-         coalesce(string_agg(begin_at || '-' || (begin_at + length(unit)), ',' ORDER BY unit_no) FILTER (occurrence > 1), '') AS removed_spans,
-         coalesce(array_to_string(list_sort(list_distinct(list(first_id) FILTER (occurrence > 1))), ','), '') AS first_doc_ids
-  FROM ranked GROUP BY doc_id
+  SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (l.line IS NOT NULL AND NOT coalesce(r.gone, false)), '') AS text
+  FROM left_over l LEFT JOIN ranked r ON r.doc_id = l.doc_id AND r.line_no = l.line_no AND r.part_no = 0
+  GROUP BY l.doc_id
+),
+spans AS (
+  SELECT doc_id, count(*) AS n, string_agg(begin_at || '-' || stop_at, ',' ORDER BY begin_at, stop_at) AS spans,
+         array_to_string(list_sort(list_distinct(list(first_id))), ',') AS firsts
+  FROM ranked WHERE gone GROUP BY doc_id
 )
-SELECT d.doc_id AS doc_id, c.text AS text, coalesce(length(c.text), 0)::BIGINT AS n_chars, coalesce(c.n_removed, 0)::BIGINT AS n_removed,
-       coalesce(c.removed_spans, '') AS removed_spans, coalesce(c.first_doc_ids, '') AS first_doc_ids
-FROM documents d LEFT JOIN clean c USING (doc_id)
+SELECT d.doc_id AS doc_id, c.text AS text, coalesce(length(c.text), 0)::BIGINT AS n_chars, coalesce(s.n, 0)::BIGINT AS n_removed,
+       coalesce(s.spans, '') AS removed_spans, coalesce(s.firsts, '') AS first_doc_ids
+FROM documents d LEFT JOIN clean c USING (doc_id) LEFT JOIN spans s USING (doc_id)
 """
