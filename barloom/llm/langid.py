@@ -25,6 +25,8 @@ from ._common import batch, map_batches, table
 PROFILE = 300
 UNDECIDED = "und"
 FOLDS = 5
+#: A document must be at least so close to a profile to be kept by ``keep_identified``.
+LEAST_SCORE = 0.25
 #: Texts are taken in parts of about so many characters.
 PART_CHARS = 2_000_000
 
@@ -161,6 +163,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
+def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text is in one of the learned languages with a score of ``least``."""
+    learned = learn(docs.filter(~held_out(F.col("doc_id"))))
+    return predict(docs, learned).filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least)).select(*docs.columns)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = learn(docs.filter(~held_out(F.col("doc_id"))))

@@ -154,8 +154,8 @@ def prefix_size(n: int, percent: int, c: int = 1) -> int:
     return min(n, n - needed(n, percent) + c)
 
 
-DESCRIBED = "kind int, id long, n long, c long, sketch binary"
-_DESCRIBED = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("sketch", pa.binary())])
+DESCRIBED = "kind int, id long, t long, n long, c long, sketch binary"
+_DESCRIBED = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("sketch", pa.binary())])
 
 
 def digest(tokens: np.ndarray) -> int:
@@ -163,25 +163,25 @@ def digest(tokens: np.ndarray) -> int:
 
 
 def describe(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Kind 0: a document's id, set size, class and sketch; kind 1: a token (``c``) and in how many texts of a batch it is (``n``)."""
+    """Kind 0: a document's id, text hash, set size, class and sketch; kind 1: a token (``c``) and in how many texts of a batch it is (``n``)."""
 
     def run(batches):
         for b in batches:
-            ids, rows = b.column(0).to_pylist(), []
+            ids, hashes, rows = b.column(0).to_pylist(), b.column(2).to_pylist(), []
             everything = []
             for row, tokens in shingle_sets(b.column(1), shingle):
                 rows.append((row, len(tokens), digest(tokens), parity_sketch(tokens)))
                 everything.append(tokens)
             without = set(range(b.num_rows)).difference(r[0] for r in rows)
             rows += [(r, 0, None, None) for r in without]
-            yield batch(_DESCRIBED, [0] * len(rows), [ids[r[0]] for r in rows], *([r[i] for r in rows] for i in (1, 2, 3)))
+            yield batch(_DESCRIBED, [0] * len(rows), [ids[r[0]] for r in rows], [hashes[r[0]] for r in rows], *([r[i] for r in rows] for i in (1, 2, 3)))
             if everything:
                 tokens, n = np.unique(np.concatenate(everything), return_counts=True)
                 often = n >= LOCAL_LEAST
                 tokens, n = tokens[often].view(np.int64), n[often]
-                yield batch(_DESCRIBED, [1] * len(n), [None] * len(n), n, tokens, [None] * len(n))
+                yield batch(_DESCRIBED, [1] * len(n), [None] * len(n), [None] * len(n), n, tokens, [None] * len(n))
 
-    return map_batches(docs, run, DESCRIBED)
+    return map_batches(docs.select("doc_id", "text", F.xxhash64("text")), run, DESCRIBED)
 
 
 def choose_boundary(sizes: dict[int, int], entries: float, percent: int = PERCENT, most: int = LIGHT_MOST) -> int:
@@ -363,11 +363,11 @@ def verified(scratch: Scratch, name: str, docs: DataFrame, pairs: DataFrame, per
 
 
 def join_components(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
+    """``doc_id, n_shingles, component_id, text_hash`` of every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(spark, "ngramjoin")
     described = scratch.keep(describe(docs, shingle), "described")
-    rows = described.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "c")
+    rows = described.filter("kind = 0").select(F.col("id").alias("doc_id"), "t", "n", "c")
 
     # at most HEAVY_MOST tokens and LIGHT_MOST + 1 sizes reach the driver
     tokens = described.filter("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_DOCS)
@@ -395,14 +395,31 @@ def join_components(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     more = verified(scratch, "rest", docs, pairs, percent, shingle)
     label = components(links.unionByName(more), scratch, "components").withColumnRenamed("component", "g")
 
-    grouped = rows.join(label, rows["c"] == label["id"], "left").select("doc_id", "n", F.coalesce("g", "c").alias("g"))
+    grouped = rows.join(label, rows["c"] == label["id"], "left").select("doc_id", "t", "n", F.coalesce("g", "c").alias("g"))
     grouped = scratch.keep(grouped, "grouped")
     first = grouped.filter("g IS NOT NULL").groupBy("g").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(first, "g", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return grouped.join(first, "g", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("t").alias("text_hash"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component, once each.
+
+    Only rows whose id a bitmap of the removed (and the repeated) ids may hold are
+    shuffled; all others stay where they are."""
+    scratch = Scratch(spark, "representatives")
+    rows = scratch.keep(join_components(spark, docs, percent, shingle).select("doc_id", "text_hash", "component_id"), "rows")
+    key = [F.col("doc_id").alias("_k"), F.col("text_hash").alias("_t")]
+    gone = rows.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key).distinct()
+    twice = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_k"))
+    bitmap = IdBitmap.of(gone.select("_k").unionByName(twice).distinct(), "_k")
+    hashed = F.xxhash64(F.col("text").cast("string"))
+    doubtful = bitmap.filter(docs, "doc_id").withColumn("_h", hashed)
+    doubtful = doubtful.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_k")) & F.col("_h").eqNullSafe(F.col("_t")), "left_anti").dropDuplicates(["doc_id", "_h"])
+    return bitmap.filter(docs, "doc_id", inside=False).unionByName(doubtful.drop("_h"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_components(spark, table(spark, sf_dir, "documents"))
+    return join_components(spark, table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 SQL = rf"""

@@ -33,13 +33,13 @@ class IdBitmap:
         words = self.shared.value
         return (words[slots >> 6] >> (slots & 63) & 1).astype(bool)
 
-    def filter(self, df: DataFrame, column: str) -> DataFrame:
-        """The rows of ``df`` whose id may be in the bitmap."""
+    def filter(self, df: DataFrame, column: str, inside: bool = True) -> DataFrame:
+        """The rows of ``df`` whose id may be in the bitmap, or else those whose id isn't."""
         test, names = self.test, df.columns
 
         def run(batches):
             for b in batches:
-                hit = pa.array(test(b.column(len(names)).to_numpy()))
+                hit = pa.array(test(b.column(len(names)).to_numpy()) == inside)
                 yield b.select(names).filter(hit)
 
         slotted = df.withColumn("_slot", F.pmod(F.xxhash64(column), F.lit(1 << self.bits)))
