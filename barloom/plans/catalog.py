@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import bars, joins, labels, series, weights  # noqa: F401  (they register themselves)
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
