@@ -14,11 +14,14 @@ five steps.
    light sets large enough to meet a heavy one.  ``boundary`` minimises the
    expected number of keys and list entries over the sizes that occur.
 3. Each list is a star: its members are paired with a pivot (of four pivots, by key),
-   never with each other.  Pairs whose parity sketches differ in too many bits
-   can't link (exact bound); the others are verified on their whole sets.
-4. Members of one list that are in different components after that are paired, checked
-   by sketch and verified: what remains of a group after the stars, and texts that share
-   a passage.  Pairs inside a component can't change the result and aren't made.
+   never with each other.  Half of the pivots are the sets of the largest share of
+   heavy tokens: of a group of edited copies that is the text they were made from.
+   Pairs whose parity sketches differ in too many bits can't link (exact bound); the others
+   are verified on their whole sets.
+4. What is outside a list's largest component then is paired with members of other
+   components, if the places of the shared key in both orders leave room for enough
+   overlap (exact bound: all common tokens come at or after the first), checked by sketch and
+   verified.  Pairs inside a component can't change the result and aren't made.
 5. Components of the verified links; the smallest doc_id of each.
 
 Lists of heavy tokens are dealt by ``(key, salt)``; all others are short.  Copies
@@ -203,8 +206,8 @@ def choose_boundary(sizes: dict[int, int], entries: float, percent: int = PERCEN
     return min(range(most + 1), key=lambda b: (cost(b), b))
 
 
-KEYS = "key long, c long, heavy boolean"
-_KEYS = pa.schema([("key", pa.int64()), ("c", pa.int64()), ("heavy", pa.bool_())])
+KEYS = "key long, c long, n int, at int, heavy boolean, rank short"
+_KEYS = pa.schema([("key", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("heavy", pa.bool_()), ("rank", pa.int16())])
 
 
 class KeyMaker:
@@ -214,11 +217,13 @@ class KeyMaker:
         order = np.argsort(heavy)
         self.heavy, self.counts, self.boundary, self.percent = heavy[order], counts[order], boundary, percent
 
-    def __call__(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Keys, the place of each key's first token, whether its list may be long, and the share of
+        tokens that aren't heavy in thousandths."""
         n, percent = len(tokens), self.percent
         # the smallest size at which a different set can link
         if prefix_size(n, percent) == 1 and needed(n, percent) == n and 100 * n // percent == n:
-            return tokens[:0], np.zeros(0, bool)
+            return tokens[:0], np.zeros(0, np.int64), np.zeros(0, bool), 0
         size = prefix_size(n, percent, 2)
         hit = np.zeros(n, bool)
         if len(self.heavy):
@@ -231,16 +236,18 @@ class KeyMaker:
             is_heavy = np.arange(len(first)) >= len(rare)
         else:
             first, is_heavy = tokens[:size], np.zeros(min(n, size), bool)
-        keys, flags = [], []
+        keys, places, flags = [], [], []
         if n <= self.boundary:
             a, b = np.triu_indices(len(first), 1)
             keys.append(_finish(np.minimum(first[a], first[b]) * _MIX[2] + np.maximum(first[a], first[b]) * _MIX[3]))
+            places.append(a)
             flags.append(is_heavy[a] & is_heavy[b])
         if n > self.boundary or 100 * n // percent > self.boundary:
             single = prefix_size(n, percent)
             keys.append(first[:single])
+            places.append(np.arange(single))
             flags.append(is_heavy[:single])
-        return np.concatenate(keys), np.concatenate(flags)
+        return np.concatenate(keys), np.concatenate(places), np.concatenate(flags), 1000 - 1000 * int(hit.sum()) // n
 
 
 def post_keys(spark: SparkSession, docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, boundary: int, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -250,7 +257,7 @@ def post_keys(spark: SparkSession, docs: DataFrame, heavy: np.ndarray, counts: n
     def run(batches):
         make, seen = KeyMaker(*shared.value, boundary, percent), set()
         for b in batches:
-            keys, classes, flags, held = [], [], [], 0
+            parts, held = [], 0
             for _, tokens in shingle_sets(b.column(1), shingle):
                 c = digest(tokens)
                 if c in seen:
@@ -258,38 +265,43 @@ def post_keys(spark: SparkSession, docs: DataFrame, heavy: np.ndarray, counts: n
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(c)
-                k, h = make(tokens)
-                keys.append(k)
-                flags.append(h)
-                classes.append(np.full(len(k), c, np.int64))
-                held += len(k)
-                if held > 500_000:
-                    yield batch(_KEYS, np.concatenate(keys).view(np.int64), np.concatenate(classes), np.concatenate(flags))
-                    keys, classes, flags, held = [], [], [], 0
-            if keys:
-                yield batch(_KEYS, np.concatenate(keys).view(np.int64), np.concatenate(classes), np.concatenate(flags))
+                keys, places, heavy_, rank = make(tokens)
+                parts.append((keys, c, len(tokens), places, heavy_, rank))
+                held += len(keys)
+                if held > 200_000:
+                    yield _key_batch(parts)
+                    parts, held = [], 0
+            if held:
+                yield _key_batch(parts)
 
     return map_batches(docs, run, KEYS)
 
 
+def _key_batch(parts: list[tuple]) -> pa.RecordBatch:
+    sizes = [len(p[0]) for p in parts]
+    keys, places, flags = (np.concatenate([p[i] for p in parts]) for i in (0, 3, 4))
+    return batch(_KEYS, keys.view(np.int64), *(np.repeat(np.array([p[i] for p in parts], kind), sizes) if i in (1, 2) else places.astype(np.int32) for i, kind in ((1, np.int64), (2, np.int32), (3, np.int32))), flags, np.repeat(np.array([p[5] for p in parts], np.int16), sizes))
+
+
 def lists(keys: DataFrame) -> DataFrame:
     """``key, c, pivot`` of every list that holds two classes.
 
     One shuffle, by ``(key, salt)``: a rare token's list is whole in one task; a heavy
     one's is in up to SALTS parts, whose pivots then meet in an aggregation."""
     salt = F.when(F.col("heavy"), F.pmod(F.hash("c"), F.lit(SALTS))).otherwise(0)
-    dealt = keys.withColumn("salt", salt).repartition("key", "salt").dropDuplicates(["key", "salt", "c"])
-    order = F.struct(F.xxhash64("c", F.pmod("key", F.lit(PIVOTS))).alias("o"), F.col("c").alias("c"))
+    dealt = keys.withColumn("salt", salt).repartition("key", "salt")
+    pivot = F.pmod("key", F.lit(PIVOTS))
+    order = F.struct(F.when(pivot < PIVOTS // 2, F.col("rank")).otherwise(0).alias("r"), F.xxhash64("c", pivot).alias("o"), F.col("c").alias("c"))
     own = Window.partitionBy("key", "salt")
-    dealt = dealt.withColumn("o", F.min(order).over(own)).withColumn("last", F.max(order).over(own))
-    return dealt.filter("heavy OR o <> last").select("key", "c", "heavy", F.col("o").alias("first"), "last")
+    dealt = dealt.withColumn("first", F.min(order).over(own)).withColumn("last", F.max(order).over(own))
+    return dealt.filter("heavy OR first <> last").select("key", "c", "n", "at", "heavy", "first", "last")
 
 
 def with_heavy_pivots(members: DataFrame) -> DataFrame:
-    """``key, c, pivot``: the parts of heavy lists get one pivot."""
+    """``key, c, n, at, pivot``, each once: the parts of heavy lists get one pivot."""
     whole = members.filter("heavy").groupBy("key").agg(F.min("first").alias("f"), F.max("last").alias("l")).filter("f <> l").select("key", F.col("f.c").alias("pivot"))
-    heavy = members.filter("heavy").select("key", "c").join(whole, "key")
-    return members.filter("NOT heavy").select("key", "c", F.col("first.c").alias("pivot")).unionByName(heavy)
+    heavy = members.filter("heavy").select("key", "c", "n", "at").join(whole, "key")
+    return members.filter("NOT heavy").select("key", "c", "n", "at", F.col("first.c").alias("pivot")).unionByName(heavy).distinct()
 
 
 def ordered_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -385,12 +397,15 @@ def join_components(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     links = verified(scratch, "stars", docs, stars, percent, shingle)
     label = components(links, scratch, "star-components").withColumnRenamed("component", "g")
 
-    # lists that still hold two components
-    labelled = members.join(label.withColumnRenamed("id", "c"), "c", "left").select("key", "c", F.coalesce("g", "c").alias("g")).join(classes.select("c", "n"), "c")
-    split = labelled.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("key")
-    rest = scratch.keep(labelled.join(split, "key", "left_semi"), "rest")
-    a, b = (rest.select("key", *(F.col(x).alias(x + y) for x in ("c", "g", "n"))) for y in "ab")
-    cross = a.join(b, "key").filter((F.col("ga") < F.col("gb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    # lists that still hold two components: those outside the largest one meet all others
+    labelled = members.join(label.withColumnRenamed("id", "c"), "c", "left").select("key", "c", "n", "at", F.coalesce("g", "c").alias("g"))
+    held = labelled.groupBy("key", "g").agg(F.count("*").alias("k"))
+    split = held.groupBy("key").agg(F.max(F.struct("k", "g")).alias("m"), F.count("*").alias("gs")).filter("gs > 1").select("key", F.col("m.g").alias("most"))
+    rest = scratch.keep(labelled.join(split, "key"), "rest")
+    a, b = (rest.select("key", "most", *(F.col(x).alias(x + y) for x in ("c", "g", "n", "at"))) for y in "ab")
+    least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    room = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= least
+    cross = a.filter("ga <> most").join(b.drop("most"), "key").filter((F.col("ga") != F.col("gb")) & room)
     pairs = possible(ordered_pairs(cross, "ca", "cb"), classes, percent).join(scratch.spark.read.parquet(scratch.path("stars-pairs")).select("a", "b"), ["a", "b"], "left_anti")
     more = verified(scratch, "rest", docs, pairs, percent, shingle)
     label = components(links.unionByName(more), scratch, "components").withColumnRenamed("component", "g")
