@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -65,3 +66,14 @@ def text_parts(column: pa.Array, size: int = PART_BYTES):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
         yield lo, data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo], np.diff(offsets[lo : hi + 1])
         lo = hi
+
+
+def release() -> None:
+    """Give freed memory back to the system at the end of a task; the worker may idle for long."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

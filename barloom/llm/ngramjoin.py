@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, batch, map_batches, table, text_parts
+from ._common import Scratch, batch, map_batches, release, table, text_parts
 from .components import components
 from .sketches import IdBitmap
 
@@ -55,8 +55,11 @@ PERCENT = 80
 #: A token is heavy if about so many documents hold it; only the most frequent are.
 HEAVY_DOCS = 16
 HEAVY_MOST = 1 << 18
-#: Counted in a task's batch only if so many of its texts hold the token.
+#: Counted in a task only if so many of its texts hold the token.
 LOCAL_LEAST = 3
+#: A task's table of tokens seen once has 2 ** 24 slots; counted tokens are buffered up to so many.
+SEEN_BITS = 24
+BUFFERED = 1_000_000
 SALTS = 64
 PIVOTS = 4
 #: Sizes up to which enumerating subsets is considered.
@@ -165,24 +168,50 @@ def digest(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+class TokenCounter:
+    """Counts tokens from their second text in a task on, in bounded memory: the first
+    time only marks a slot of a table, so a count may be too high and never too low by more than one."""
+
+    def __init__(self):
+        self.seen, self.again, self.size = np.zeros(1 << SEEN_BITS, bool), [], 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        slots = (tokens >> _U(64 - SEEN_BITS)).astype(np.int64)
+        known = tokens[self.seen[slots]]
+        self.seen[slots] = True
+        self.again.append(known)
+        self.size += len(known)
+
+    def flush(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of LOCAL_LEAST texts or more since the last flush, with the number of texts."""
+        tokens, n = np.unique(np.concatenate(self.again) if self.again else np.zeros(0, _U), return_counts=True)
+        self.again, self.size = [], 0
+        often = n >= LOCAL_LEAST - 1
+        return tokens[often], n[often] + 1
+
+
 def describe(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Kind 0: a document's id, text hash, set size, class and sketch; kind 1: a token (``c``) and in how many texts of a batch it is (``n``)."""
+    """Kind 0: a document's id, text hash, set size, class and sketch; kind 1: a token (``c``) and in how many texts of a task it is (``n``)."""
 
     def run(batches):
+        counter = TokenCounter()
+
+        def counted():
+            tokens, n = counter.flush()
+            return batch(_DESCRIBED, [1] * len(n), [None] * len(n), [None] * len(n), n, tokens.view(np.int64), [None] * len(n))
+
         for b in batches:
             ids, hashes, rows = b.column(0).to_pylist(), b.column(2).to_pylist(), []
-            everything = []
             for row, tokens in shingle_sets(b.column(1), shingle):
                 rows.append((row, len(tokens), digest(tokens), parity_sketch(tokens)))
-                everything.append(tokens)
+                counter.add(tokens)
+                if counter.size >= BUFFERED:
+                    yield counted()
             without = set(range(b.num_rows)).difference(r[0] for r in rows)
             rows += [(r, 0, None, None) for r in without]
             yield batch(_DESCRIBED, [0] * len(rows), [ids[r[0]] for r in rows], [hashes[r[0]] for r in rows], *([r[i] for r in rows] for i in (1, 2, 3)))
-            if everything:
-                tokens, n = np.unique(np.concatenate(everything), return_counts=True)
-                often = n >= LOCAL_LEAST
-                tokens, n = tokens[often].view(np.int64), n[often]
-                yield batch(_DESCRIBED, [1] * len(n), [None] * len(n), [None] * len(n), n, tokens, [None] * len(n))
+        yield counted()
+        release()
 
     return map_batches(docs.select("doc_id", "text", F.xxhash64("text")), run, DESCRIBED)
 
@@ -206,8 +235,21 @@ def choose_boundary(sizes: dict[int, int], entries: float, percent: int = PERCEN
     return min(range(most + 1), key=lambda b: (cost(b), b))
 
 
-KEYS = "key long, c long, n int, at int, heavy boolean, rank short"
-_KEYS = pa.schema([("key", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("heavy", pa.bool_()), ("rank", pa.int16())])
+#: ``info`` holds a set's size (24 bits and more), a key's place (24), a rank (10) and the heavy flag (1).
+KEYS = "key long, c long, info long"
+_KEYS = pa.schema([("key", pa.int64()), ("c", pa.int64()), ("info", pa.int64())])
+_PLACE_MOST = (1 << 24) - 1
+
+
+def packed(n: int, places: np.ndarray, heavy: np.ndarray, rank: int) -> np.ndarray:
+    """Places beyond the field count as 0, which only widens the room that a pair has."""
+    places = np.where(places > _PLACE_MOST, 0, places).astype(np.int64)
+    return np.int64(n) << 35 | places << 11 | np.int64(rank << 1) | heavy.astype(np.int64)
+
+
+def info_fields() -> dict:
+    info = F.col("info")
+    return {"n": F.shiftright(info, 35).cast("int"), "at": F.shiftright(info, 11).bitwiseAND(_PLACE_MOST).cast("int"), "rank": F.shiftright(info, 1).bitwiseAND(1023).cast("int"), "heavy": info.bitwiseAND(1) == 1}
 
 
 class KeyMaker:
@@ -257,7 +299,7 @@ def post_keys(spark: SparkSession, docs: DataFrame, heavy: np.ndarray, counts: n
     def run(batches):
         make, seen = KeyMaker(*shared.value, boundary, percent), set()
         for b in batches:
-            parts, held = [], 0
+            keys, classes, infos, held = [], [], [], 0
             for _, tokens in shingle_sets(b.column(1), shingle):
                 c = digest(tokens)
                 if c in seen:
@@ -265,36 +307,35 @@ def post_keys(spark: SparkSession, docs: DataFrame, heavy: np.ndarray, counts: n
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(c)
-                keys, places, heavy_, rank = make(tokens)
-                parts.append((keys, c, len(tokens), places, heavy_, rank))
-                held += len(keys)
-                if held > 200_000:
-                    yield _key_batch(parts)
-                    parts, held = [], 0
+                found, places, heavy_, rank = make(tokens)
+                keys.append(found)
+                classes.append(np.full(len(found), c, np.int64))
+                infos.append(packed(len(tokens), places, heavy_, rank))
+                held += len(found)
+                if held > 100_000:
+                    yield batch(_KEYS, np.concatenate(keys).view(np.int64), np.concatenate(classes), np.concatenate(infos))
+                    keys, classes, infos, held = [], [], [], 0
             if held:
-                yield _key_batch(parts)
+                yield batch(_KEYS, np.concatenate(keys).view(np.int64), np.concatenate(classes), np.concatenate(infos))
+        release()
 
     return map_batches(docs, run, KEYS)
 
 
-def _key_batch(parts: list[tuple]) -> pa.RecordBatch:
-    sizes = [len(p[0]) for p in parts]
-    keys, places, flags = (np.concatenate([p[i] for p in parts]) for i in (0, 3, 4))
-    return batch(_KEYS, keys.view(np.int64), *(np.repeat(np.array([p[i] for p in parts], kind), sizes) if i in (1, 2) else places.astype(np.int32) for i, kind in ((1, np.int64), (2, np.int32), (3, np.int32))), flags, np.repeat(np.array([p[5] for p in parts], np.int16), sizes))
-
-
 def lists(keys: DataFrame) -> DataFrame:
     """``key, c, pivot`` of every list that holds two classes.
 
     One shuffle, by ``(key, salt)``: a rare token's list is whole in one task; a heavy
     one's is in up to SALTS parts, whose pivots then meet in an aggregation."""
-    salt = F.when(F.col("heavy"), F.pmod(F.hash("c"), F.lit(SALTS))).otherwise(0)
+    fields = info_fields()
+    salt = F.when(fields["heavy"], F.pmod(F.hash("c"), F.lit(SALTS))).otherwise(0)
     dealt = keys.withColumn("salt", salt).repartition("key", "salt")
     pivot = F.pmod("key", F.lit(PIVOTS))
-    order = F.struct(F.when(pivot < PIVOTS // 2, F.col("rank")).otherwise(0).alias("r"), F.xxhash64("c", pivot).alias("o"), F.col("c").alias("c"))
+    order = F.struct(F.when(pivot < PIVOTS // 2, fields["rank"]).otherwise(0).alias("r"), F.xxhash64("c", pivot).alias("o"), F.col("c").alias("c"))
     own = Window.partitionBy("key", "salt")
     dealt = dealt.withColumn("first", F.min(order).over(own)).withColumn("last", F.max(order).over(own))
-    return dealt.filter("heavy OR first <> last").select("key", "c", "n", "at", "heavy", "first", "last")
+    kept = dealt.withColumns({k: fields[k] for k in ("n", "at", "heavy")}).filter("heavy OR first <> last")
+    return kept.select("key", "c", "n", "at", "heavy", "first", "last")
 
 
 def with_heavy_pivots(members: DataFrame) -> DataFrame:
@@ -351,6 +392,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataF
                     out, sets = [], []
             if out:
                 yield _set_batch(out, sets)
+        release()
 
     return map_batches(docs, run, SETS).join(wanted, "c", "left_semi")
 
