@@ -98,7 +98,7 @@ class ArchiveWriter:
             self.path = f"{self.folder}/{self.name}-{len(self.done):05d}.warc.gz"
             fs, path = pyarrow.fs.FileSystem.from_uri(self.path)
             fs.create_dir(os.path.dirname(path), recursive=True)
-            self.out, self.records = fs.open_output_stream(path), 0
+            self.out, self.records = fs.open_output_stream(path, compression=None), 0
         member = zlib.compressobj(self.level, zlib.DEFLATED, GZIP)
         for part in parts:
             self.out.write(member.compress(part))
@@ -143,7 +143,7 @@ class Source:
 
     def __init__(self, uri: str, buffer: int = 1 << 18):
         fs, path = pyarrow.fs.FileSystem.from_uri(uri)
-        self.file, self.buffer = fs.open_input_stream(path), buffer
+        self.file, self.buffer = fs.open_input_stream(path, compression=None), buffer
         self.member, self.packed, self.plain = None, b"", bytearray()
 
     def more(self) -> bool:
@@ -152,6 +152,8 @@ class Source:
             if not self.packed:
                 self.packed = self.file.read(self.buffer)
                 if not self.packed:
+                    if self.member is not None:
+                        raise ValueError("the archive ends inside a member")
                     return False
             if self.member is None:
                 self.member = zlib.decompressobj(GZIP)

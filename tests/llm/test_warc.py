@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 from barloom.llm import warc
@@ -59,6 +60,7 @@ def test_broken_archive_is_an_error(tmp_path):
     writer.add(warc.record_parts(1, "u", b"abc" * 100, None))
     writer.close()
     whole = (tmp_path / "b-00000.warc.gz").read_bytes()
+    assert gzip.decompress(whole).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
     path.write_bytes(whole[: len(whole) // 2])
     try:
         list(warc.chunks_of(f"file://{path}"))
