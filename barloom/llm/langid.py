@@ -134,11 +134,11 @@ class Profiles:
         return self.langs[best], max(0.0, 1.0 - sums[best] / (self.size * len(ranking)))
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; ``text`` alone decides."""
     names = docs.columns
     fields = [f for f in docs.schema.fields]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"{out[0]} string", f"{out[1]} double"])
     at = names.index("text")
 
     def run(batches):
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFIL
                     lang, score = table_.nearest(ranked(grams(own), size)) if own.any() else (UNDECIDED, 0.0)
                     langs.append(lang)
                     scores.append(score)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, *out])
 
     return map_batches(docs, run, schema)
 
@@ -166,7 +166,8 @@ def held_out(doc_id: Column) -> Column:
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` whose text is in one of the learned languages with a score of ``least``."""
     learned = learn(docs.filter(~held_out(F.col("doc_id"))))
-    return predict(docs, learned).filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least)).select(*docs.columns)
+    told = predict(docs, learned, out=("_lang_pred", "_score"))
+    return told.filter((F.col("_lang_pred") != UNDECIDED) & (F.col("_score") >= least)).select(*docs.columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,8 +67,8 @@ def _digest(words: list[str]) -> bytes:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``k, t`` tell the documents apart: id and hash of the text."""
-    return docs.withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))).withColumn("t", F.xxhash64(F.col("text").cast("string")))
+    """``_k, _t`` tell the documents apart: id and hash of the text."""
+    return docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))).withColumn("_t", F.xxhash64(F.col("text").cast("string")))
 
 
 def units(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MIN_WORDS) -> DataFrame:
@@ -85,7 +85,7 @@ def units(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MIN_WORD
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 yield batch(_UNITS, *columns, halves[:, 0], halves[:, 1])
 
-    return map_batches(keyed(docs).filter("text IS NOT NULL").select("k", "t", F.col("text").cast("string")), run, UNITS)
+    return map_batches(keyed(docs).filter("text IS NOT NULL").select("_k", "_t", F.col("text").cast("string")), run, UNITS)
 
 
 def removed_spans(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MIN_WORDS) -> DataFrame:
@@ -116,11 +116,10 @@ def without_spans(text: str, spans: list[tuple[int, int]], separator: str = SEPA
     return separator.join(kept)
 
 
-def dedup_table(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_table(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MIN_WORDS, out: str = "removed") -> DataFrame:
     """``docs`` with ``text`` less its removed units, and ``removed``: their spans (null if none)."""
-    spans = removed_spans(docs, separator, min_words).withColumnsRenamed({"k": "_k", "t": "_t"})
-    own = keyed(docs)
-    joined = own.join(spans, (own["k"] == spans["_k"]) & (own["t"] == spans["_t"]), "left").drop("k", "t", "_k", "_t").withColumnRenamed("spans", "removed")
+    spans = removed_spans(docs, separator, min_words).select(F.col("k").alias("_sk"), F.col("t").alias("_st"), F.col("spans").alias(out))
+    joined = keyed(docs).join(spans, (F.col("_k") == F.col("_sk")) & (F.col("_t") == F.col("_st")), "left").drop("_k", "_t", "_sk", "_st")
     at, schema = joined.columns.index("text"), joined.schema
 
     def run(batches):
@@ -134,10 +133,10 @@ def dedup_table(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MI
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (with ``n_chars``) less all repeated lines; a text of which nothing is left goes."""
-    out = dedup_table(docs)
-    left = F.col("removed").isNull() | ~F.col("text").rlike(r"\A\s*\z")
+    out = dedup_table(docs, out="_removed")
+    left = F.col("_removed").isNull() | ~F.col("text").rlike(r"\A\s*\z")
     kind = docs.schema["n_chars"].dataType
-    return out.filter(left).withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind))).select(*docs.columns)
+    return out.filter(left).withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind))).select(*docs.columns)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
