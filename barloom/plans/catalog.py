@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bars, joins, labels, series, weights  # noqa: F401  (they register themselves)
+from . import bars, bets, joins, labels, models, series, weights  # noqa: F401  (they register themselves)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

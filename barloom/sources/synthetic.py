@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.normal import norm_ppf
-
 
 def uniform(seed: int, *keys: Column | str) -> Column:
     """In (0, 1), the same for equal keys wherever it is computed."""
@@ -15,7 +13,8 @@ def uniform(seed: int, *keys: Column | str) -> Column:
 
 
 def gaussian(seed: int, *keys: Column | str) -> Column:
-    return norm_ppf(uniform(seed, *keys))
+    """Box and Muller's transform of two uniform values."""
+    return F.sqrt(-2 * F.ln(uniform(seed, *keys))) * F.cos(6.283185307179586 * uniform(seed + 500_009, *keys))
 
 
 def classification(spark: SparkSession, n: int = 5000, informative: int = 10, redundant: int = 10, noise: int = 20, seed: int = 0, end: str = "2024-01-01") -> DataFrame:
