@@ -6,6 +6,8 @@ Every row has a ``seq`` that is unique within its symbol; ``(ts, seq)`` is its p
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,16 +22,38 @@ def side_sign(side: str | Column, ignore_case: bool = False) -> Column:
     return F.when(side == "buy", 1).otherwise(-1).cast("int")
 
 
+def _by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a glob by their first line, each opened once on the driver; unreadable ones are left out with a warning."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    glob = jvm.org.apache.hadoop.fs.Path(path)
+    fs, found = glob.getFileSystem(conf), {}
+    for status in sorted(fs.globStatus(glob) or [], key=lambda s: s.getPath().toString()):
+        name = status.getPath().toString()
+        try:
+            stream = fs.open(status.getPath())
+            try:
+                line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+            finally:
+                stream.close()
+        except Exception as e:  # as wide as what a file system may raise
+            warnings.warn(f"{name} is skipped: {e}", stacklevel=2)
+            continue
+        if line:
+            found.setdefault(line, []).append(name)
+    return found
+
+
 def read_trade_files(spark: SparkSession, path: str, symbol: str | None = None, schema: str = RAW_TRADES) -> DataFrame:
-    """All CSV files of a glob; unreadable files are skipped, malformed rows dropped, other columns ignored by name.
+    """All CSV files of a glob; columns are matched by each file's own header, others ignored.
 
-    ``source_file`` tells where a row came from, ``seq`` its place in (time, file) order."""
-    raw = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("enforceSchema", False).option("ignoreCorruptFiles", True)
-    header = raw.csv(path)
-    wanted = [c.split()[0] for c in schema.split(", ")]
+    Unreadable files are skipped; values that aren't of their column's type are null.  The symbol is the file's name unless given;
+    ``seq`` is a row's place in (time, file) order."""
     kinds = dict(c.split() for c in schema.split(", "))
-    df = header.select(*(F.try_to_number(F.col(c), F.lit("9" * 18)).cast(kinds[c]) if kinds[c] == "long" else F.col(c).try_cast(kinds[c]).alias(c) for c in wanted if c in header.columns), F.col("_metadata.file_path").alias("source_file"))
-    df = df.toDF(*[c for c in wanted if c in header.columns], "source_file")
+    parts = []
+    for paths in _by_header(spark, path).values():
+        raw = spark.read.option("header", True).option("ignoreCorruptFiles", True).csv(paths)
+        parts.append(raw.select(*(F.col(c).try_cast(k).alias(c) if c in raw.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()), F.col("_metadata.file_path").alias("source_file")))
+    df = concat(*parts) if parts else spark.createDataFrame([], f"{schema}, source_file string")
     return normalise_trades(df.withColumn("symbol", F.lit(symbol) if symbol else F.regexp_extract("source_file", r"([^/]+?)(?:\.csv)?$", 1)))
 
 
