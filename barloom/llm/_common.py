@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only where the session names no ``spark.checkpoint.dir`` (tests, local mode).
 FALLBACK_DIR = "file:///tmp/barloom-checkpoints"
 #: Texts are taken in parts of about so many bytes (a longer text is a part of its own).
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
+#: Arrow batches hold about so many bytes, whatever the length of the texts (unless the session says otherwise).
+BATCH_BYTES = 4 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +52,18 @@ class Scratch:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """``fn`` over Arrow batches of bounded size; the worker gives its memory back when a task ends."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF) == _BATCH_DEFAULT:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -4,7 +4,7 @@
 keeps each language's ``PROFILE`` most frequent ones in order; ``predict`` ranks a
 whole document's own most frequent n-grams and takes the language with the
 smallest sum of rank differences (``PROFILE`` for an n-gram that the profile lacks).
-Counts are summed per batch, then by Spark, so no language meets in one task;
+Counts are summed per task, then by Spark, so no language meets in one task;
 only ``PROFILE`` rows for each language reach the driver and the tasks.
 
 Ties between n-grams go to the smaller code, ties between languages to the first
@@ -28,14 +28,16 @@ FOLDS = 5
 #: A document must be at least so close to a profile to be kept by ``keep_identified``.
 LEAST_SCORE = 0.25
 #: Texts are taken in parts of about so many characters.
-PART_CHARS = 2_000_000
+PART_CHARS = 500_000
+#: Distinct n-grams of a language that a task holds before it hands them on.
+HELD = 500_000
 
 
 class Folder:
     """Code points to letters: the lower-case code point, 0 for anything else."""
 
     def __init__(self):
-        self.known = np.full(0x110000, -1, np.int64)
+        self.known = np.full(0x110000, -1, np.int32)
 
     def __call__(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -90,7 +92,7 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
     """Profiles of the languages of ``docs`` (``text, lang``): at most ``profile`` codes each."""
 
     def run(batches):
-        fold = Folder()
+        fold, held = Folder(), {}
         for b in batches:
             texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in parts(texts):
@@ -99,7 +101,16 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
                     by.setdefault(lang, []).append(t)
                 for lang, some in by.items():
                     found, n = np.unique(grams(fold("\n".join(some))), return_counts=True)
-                    yield batch(_COUNTS, [lang] * len(found), found, n.astype(np.int64))
+                    if lang in held:
+                        both = np.concatenate([held[lang][0], found])
+                        counts = np.concatenate([held[lang][1], n])
+                        found, at = np.unique(both, return_inverse=True)
+                        n = np.bincount(at, counts).astype(np.int64)
+                    held[lang] = (found, n)
+                    if len(found) > HELD:
+                        yield batch(_COUNTS, [lang] * len(found), *held.pop(lang))
+        for lang, (found, n) in held.items():
+            yield batch(_COUNTS, [lang] * len(found), found, n)
 
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     counts = map_batches(rows, run, COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import map_batches
+
 #: 2 ** 23 bits, 1 MB, whatever the number of ids.
 BITMAP_BITS = 23
 
@@ -43,4 +45,4 @@ class IdBitmap:
                 yield b.select(names).filter(hit)
 
         slotted = df.withColumn("_slot", F.pmod(F.xxhash64(column), F.lit(1 << self.bits)))
-        return slotted.mapInArrow(run, df.schema)
+        return map_batches(slotted, run, df.schema)
