@@ -451,7 +451,8 @@ def join_components(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
 
     grouped = rows.join(label, rows["c"] == label["id"], "left").select("doc_id", "t", "n", F.coalesce("g", "c").alias("g"))
     grouped = scratch.keep(grouped, "grouped")
-    first = grouped.filter("g IS NOT NULL").groupBy("g").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join below has an exchange on both sides and Spark can split a large component
+    first = scratch.keep(grouped.filter("g IS NOT NULL").groupBy("g").agg(F.min("doc_id").alias("component_id")), "first")
     return grouped.join(first, "g", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("t").alias("text_hash"))
 
 
