@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; a lost executor rereads them."""
+    """Tables written to the shared folder to cut lineage; a lost executor rereads them.  They go when the driver ends."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
@@ -42,6 +42,8 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.mode("overwrite").parquet(path)
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         return self.spark.read.parquet(path)
 
     def drop(self, name: str) -> None:

@@ -336,10 +336,14 @@ def lists(keys: DataFrame) -> DataFrame:
     return kept.select("key", "c", "n", "at", "heavy", "first", "last")
 
 
-def with_heavy_pivots(members: DataFrame) -> DataFrame:
-    """``key, c, n, at, pivot``, each once: the parts of heavy lists get one pivot."""
-    whole = members.filter("heavy").groupBy("key").agg(F.min("first").alias("f"), F.max("last").alias("l")).filter("f <> l").select("key", F.col("f.c").alias("pivot"))
-    heavy = members.filter("heavy").select("key", "c", "n", "at").join(whole, "key")
+def heavy_pivots(members: DataFrame) -> DataFrame:
+    """``key, pivot`` of the heavy lists that hold two classes: one pivot from those of a list's parts."""
+    return members.filter("heavy").groupBy("key").agg(F.min("first").alias("f"), F.max("last").alias("l")).filter("f <> l").select("key", F.col("f.c").alias("pivot"))
+
+
+def with_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """``key, c, n, at, pivot`` of every member of a list that holds two classes."""
+    heavy = members.filter("heavy").select("key", "c", "n", "at").join(pivots, "key")
     return members.filter("NOT heavy").select("key", "c", "n", "at", F.col("first.c").alias("pivot")).unionByName(heavy).distinct()
 
 
@@ -430,7 +434,9 @@ def join_components(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     boundary = choose_boundary(sizes, float((counts.astype(float) ** 2).sum()) / total, percent)
 
     members = scratch.keep(lists(post_keys(spark, docs, heavy, counts, boundary, percent, shingle)), "members")
-    members = scratch.keep(with_heavy_pivots(members), "lists")
+    # aggregates are written before they are joined back: an exchange on both sides lets Spark split a hot list
+    pivots = scratch.keep(heavy_pivots(members), "pivots")
+    members = scratch.keep(with_pivots(members, pivots), "lists")
     scratch.drop("members")
     stars = possible(ordered_pairs(members, "c", "pivot"), classes, percent)
     links = verified(scratch, "stars", docs, stars, percent, shingle)
@@ -440,6 +446,7 @@ def join_components(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     labelled = members.join(label.withColumnRenamed("id", "c"), "c", "left").select("key", "c", "n", "at", F.coalesce("g", "c").alias("g"))
     held = labelled.groupBy("key", "g").agg(F.count("*").alias("k"))
     split = held.groupBy("key").agg(F.max(F.struct("k", "g")).alias("m"), F.count("*").alias("gs")).filter("gs > 1").select("key", F.col("m.g").alias("most"))
+    split = scratch.keep(split, "split")
     rest = scratch.keep(labelled.join(split, "key"), "rest")
     a, b = (rest.select("key", "most", *(F.col(x).alias(x + y) for x in ("c", "g", "n", "at"))) for y in "ab")
     least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
