@@ -32,7 +32,7 @@ def test_importances_tell_signal_from_noise(spark, samples):
 
 def test_search_prefers_a_fitting_node(spark, samples):
     splits = cv.purged_k_fold(samples, 2)
-    got = models.search(samples, ["I_0", "I_1"], splits, models.grid_nodes([10.0], [1e-6, 0.1]), size=30)
+    got = models.search(samples, ["I_0", "I_1"], splits, models.grid_nodes([10.0], [0.1, 1000.0]), size=30)
     best = models.best_node(got).first()
     assert best["gamma"] == 0.1 and [r["score"] for r in got.collect()] == sorted((r["score"] for r in got.collect()), reverse=True)
     assert models.log_uniform_nodes(5, seed=1) == models.log_uniform_nodes(5, seed=1)
