@@ -1,7 +1,8 @@
 """Structural breaks: CUSUM tests, Chow-type and supremum Dickey-Fuller tests, martingale tests.
 
-Recursive regressions come from running sums (one window pass); only the tests that must refit
-by start and end point run as tasks of their own, one for each key and block of end points.
+Recursive regressions come from running sums (one window pass); only the tests over pairs of
+start and end points run as tasks of their own, one for each key and block of end points, where
+the sums of all starts are run back from each end.
 """
 
 from __future__ import annotations
@@ -100,9 +101,9 @@ def supremum(df: DataFrame, column: str, keys=KEYS) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(column).alias("sup"), F.max_by("ts", F.struct(column, F.col("ts"))).alias("at"))
 
 
-def _by_end(df: DataFrame, column: str, ends: int, first: int, step: int, fn, out: str, order=("ts", "seq")) -> DataFrame:
-    """``fn(values up to the end)`` for each end point from ``first`` on (every ``step``-th), in blocks of ``ends`` of them;
-    the series goes to each block up to its last end point."""
+def _by_end(df: DataFrame, column: str, ends: int, first: int, step: int, fn, out: tuple[str, ...], order=("ts", "seq")) -> DataFrame:
+    """``fn(values up to the end)``, a value for each name in ``out``, for each end point from ``first`` on (every ``step``-th), in
+    blocks of ``ends`` of them; the series goes to each block up to its last end point."""
     numbered = df.na.drop(subset=[column]).withColumn("_i", F.row_number().over(series()) - 1)
     n = F.count("*").over(Window.partitionBy(*KEYS))
     numbered = numbered.withColumn("_last", F.floor((n - 1) / ends))
@@ -114,10 +115,10 @@ def _by_end(df: DataFrame, column: str, ends: int, first: int, step: int, fn, ou
         own = np.array([i for i in range(b * ends, min(len(v), (b + 1) * ends)) if i >= first and (i - first) % step == 0], np.int64)
         found = [fn(v[: i + 1]) for i in own]
         pick = pa.array(own, pa.int64())
-        return pa.table({c: table.column(c).take(pick) for c in (*KEYS, *order)} | {out: pa.array(found, pa.float64())})
+        return pa.table({c: table.column(c).take(pick) for c in (*KEYS, *order)} | {name: pa.array([x[k] for x in found], pa.float64()) for k, name in enumerate(out)})
 
     head = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in (*KEYS, *order))
-    return dealt.groupBy(*KEYS, "_b").applyInArrow(run, f"{head}, {out} double")
+    return dealt.groupBy(*KEYS, "_b").applyInArrow(run, f"{head}, " + ", ".join(f"{name} double" for name in out))
 
 
 def _adf_t(x: np.ndarray, lags: int | None) -> float | None:
@@ -129,39 +130,67 @@ def _adf_t(x: np.ndarray, lags: int | None) -> float | None:
     return float(b[0] / se[0]) if se[0] > 0 else None
 
 
+def _suffix(a: np.ndarray) -> np.ndarray:
+    """Sums from each row to the last."""
+    return np.cumsum(a[::-1], axis=0)[::-1]
+
+
+def _adf_starts(x: np.ndarray, lags: int, shortest: int, start_step: int = 1) -> np.ndarray:
+    """The statistics of ``_adf_t(x[s:], lags)`` for every ``start_step``-th start ``s`` that leaves ``shortest`` values, less those
+    without one.  The normal equations of all starts are running sums from the end back, of values centred at the last."""
+    x = np.asarray(x, float)
+    shortest = max(shortest, lags + 5)
+    if len(x) < shortest:
+        return np.empty(0)
+    y, z = _design(x - x[-1], lags, False)
+    z = np.column_stack([z, y])
+    starts = np.arange(0, len(x) - shortest + 1, start_step)
+    n = (len(z) - starts).astype(float)
+    sums = _suffix(z)[starts]
+    moments = _suffix(z[:, :, None] * z[:, None, :])[starts] - sums[:, :, None] * sums[:, None, :] / n[:, None, None]
+    # with the lags swept out first, what is left of the level and the target is a regression on one column
+    moved = np.concatenate([np.arange(1, lags + 1), [0, lags + 1]])
+    moments = moments[:, moved][:, :, moved]
+    scale = np.sqrt(np.maximum(np.einsum("kii->ki", moments), 0))
+    varies = (scale[:, :-1] > 0).all(1)
+    scale = np.where(scale > 0, scale, 1)
+    moments = (moments / (scale[:, :, None] * scale[:, None, :]))[varies]
+    for k in range(lags):
+        pivot = moments[:, k, k]
+        moments = moments - moments[:, :, k, None] * (moments[:, k, :] / np.where(pivot > 0, pivot, np.inf)[:, None])[:, None, :]
+    sxx, sxy, syy = moments[:, -2, -2], moments[:, -2, -1], moments[:, -1, -1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = sxy / np.sqrt(sxx * np.maximum(0, syy - sxy * sxy / sxx) / np.maximum(1, n[varies] - lags - 2))
+    return t[np.isfinite(t)]
+
+
 def expanding_adf(df: DataFrame, column: str = "close", first: int = 1000, lags: int | None = None, step: int = 1, ends: int = 64) -> DataFrame:
     """The Dickey-Fuller t statistic over all values up to each row (no choice of lags)."""
-    return _by_end(df, column, ends, first, step, lambda x: _adf_t(x, lags), "adf")
+    return _by_end(df, column, ends, first, step, lambda x: (_adf_t(x, lags),), ("adf",))
 
 
 def supremum_adf(df: DataFrame, column: str = "close", first: int = 100, lags: int = 1, step: int = 1, shortest: int = 100, start_step: int = 1, ends: int = 64) -> DataFrame:
     """SADF: at each row the largest statistic over all start points that leave ``shortest`` values."""
 
     def sup(x):
-        found = [t for s in range(0, len(x) - shortest + 1, start_step) if (t := _adf_t(x[s:], lags)) is not None]
-        return max(found) if found else None
+        found = _adf_starts(x, lags, shortest, start_step)
+        return (float(found.max()) if len(found) else None,)
 
-    return _by_end(df, column, ends, first, step, sup, "sadf")
+    return _by_end(df, column, ends, first, step, sup, ("sadf",))
 
 
 def quantile_adf(df: DataFrame, column: str = "close", first: int = 100, lags: int = 1, q: float = 0.95, step: int = 1, shortest: int = 100, start_step: int = 1, ends: int = 64) -> DataFrame:
     """QADF (the ``q`` quantile over start points) and CADF (mean and deviation of those at or above it) at each row."""
-    scores = {}
 
-    def collect(kind):
-        def f(x):
-            found = np.array([t for s in range(0, len(x) - shortest + 1, start_step) if (t := _adf_t(x[s:], lags)) is not None])
-            if not len(found):
-                return None
-            cut = float(np.quantile(found, q))
-            top = found[found >= cut]
-            return {"qadf": cut, "cadf": float(top.mean()), "cadf_std": float(top.std())}[kind]
+    def tail(x):
+        found = _adf_starts(x, lags, shortest, start_step)
+        if not len(found):
+            return None, None, None
+        cut = float(np.quantile(found, q))
+        top = found[found >= cut]
+        return cut, float(top.mean()), float(top.std())
 
-        return f
-
-    for kind in ("qadf", "cadf", "cadf_std"):
-        scores[kind] = _by_end(df, column, ends, first, step, collect(kind), kind)
-    return scores["qadf"].join(scores["cadf"], [*KEYS, "ts", "seq"]).join(scores["cadf_std"], [*KEYS, "ts", "seq"])
+    return _by_end(df, column, ends, first, step, tail, ("qadf", "cadf", "cadf_std"))
 
 
 def tail_of_scores(df: DataFrame, column: str, q: float = 0.95, keys=KEYS) -> DataFrame:
@@ -170,18 +199,42 @@ def tail_of_scores(df: DataFrame, column: str, q: float = 0.95, keys=KEYS) -> Da
     return df.join(cut, list(keys)).groupBy(*keys, "cut").agg(F.avg(F.when(F.col(column) > F.col("cut"), F.col(column))).alias("tail_mean"), F.stddev_samp(F.when(F.col(column) > F.col("cut"), F.col(column))).alias("tail_std"))
 
 
-def _trend_t(y: np.ndarray, kind: str, penalty: float) -> float | None:
-    t = np.arange(1, len(y) + 1, dtype=float)
-    if kind in ("exp", "power") and (y <= 0).any():
-        return None
-    target = {"poly1": y, "poly2": y, "exp": np.log(np.where(y > 0, y, 1)), "power": np.log(np.where(y > 0, y, 1))}[kind]
-    x = {"poly1": [np.ones(len(t)), t, t * t], "poly2": [np.ones(len(t)), t, t * t], "exp": [np.ones(len(t)), t], "power": [np.ones(len(t)), np.log(t)]}[kind]
-    if kind == "poly2":
-        if (y <= 0).any():
-            return None
-        target = np.log(y)
-    b, se, _ = _fit(target, np.stack(x, 1))
-    return abs(float(b[-1])) / (float(se[-1]) * len(y) ** penalty) if se[-1] > 0 else None
+def _trend_starts(y: np.ndarray, kind: str, penalty: float, shortest: int, start_step: int = 1) -> np.ndarray:
+    """``|beta| / (se * length ** penalty)`` of the trend fitted to ``y[s:]``, for every ``start_step``-th start ``s`` that leaves
+    ``shortest`` values, less those without one.  The sums of all starts run from the end back."""
+    y = np.asarray(y, float)
+    starts = np.arange(0, len(y) - max(shortest, 4) + 1, start_step)
+    if kind != "poly1":
+        # logarithms: no start at or before the last value that has none
+        none = np.flatnonzero(y <= 0)
+        starts = starts[starts > (none[-1] if len(none) else -1)]
+        y = np.log(np.where(y > 0, y, 1))
+    if not len(starts):
+        return np.empty(0)
+    y = y - y[-1]
+    length = len(y) - np.arange(len(y), dtype=float)
+    s0, s2 = _suffix(y), _suffix(y * y)
+    syy = s2 - s0 * s0 / length
+    if kind == "power":
+        u = np.log(np.arange(1, len(y) + 1))
+        u1, u2 = np.cumsum(u)[::-1], np.cumsum(u * u)[::-1]
+        # the clock restarts with each start, so its products with the values are no running sum
+        uy = np.correlate(y, u, "full")[len(y) - 1 :]
+        fits = [(u2 - u1 * u1 / length, uy - u1 * s0 / length)]
+    else:
+        # polynomials of the time that are orthogonal over the span; the last one is the trend tested
+        back = length - 1
+        half = back / 2
+        b1, b2 = _suffix(back * y), _suffix(back * back * y)
+        fits = [(length * (length**2 - 1) / 12, half * s0 - b1)]
+        if kind != "exp":
+            fits.append((length * (length**2 - 1) * (length**2 - 4) / 180, half**2 * s0 - 2 * half * b1 + b2 - (length**2 - 1) / 12 * s0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sse = np.maximum(0, syy - sum(c * c / q for q, c in fits))
+        q, c = fits[-1]
+        t = np.abs(c / q) / (np.sqrt(sse / np.maximum(1, length - len(fits) - 1) / q) * length**penalty)
+    t = t[starts]
+    return t[np.isfinite(t)]
 
 
 def martingale_test(df: DataFrame, column: str = "close", kind: str = "poly1", penalty: float = 0.0, first: int = 100, shortest: int = 50, step: int = 10, start_step: int = 10, ends: int = 640) -> DataFrame:
@@ -189,10 +242,10 @@ def martingale_test(df: DataFrame, column: str = "close", kind: str = "poly1", p
     of a quadratic (``poly1``), log-quadratic (``poly2``), exponential (``exp``) or power (``power``) trend."""
 
     def sup(y):
-        found = [t for s in range(0, len(y) - shortest + 1, start_step) if (t := _trend_t(y[s:], kind, penalty)) is not None]
-        return max(found) if found else None
+        found = _trend_starts(y, kind, penalty, shortest, start_step)
+        return (float(found.max()) if len(found) else None,)
 
-    return _by_end(df, column, ends, first, step, sup, "smt")
+    return _by_end(df, column, ends, first, step, sup, ("smt",))
 
 
 def critical_value(df: DataFrame, column: str, q: float = 0.99, keys=KEYS) -> DataFrame:

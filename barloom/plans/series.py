@@ -168,23 +168,23 @@ def supremum_break(spark, sf):
 
 @query()
 def expanding_adf(spark, sf):
-    return R.expanding_adf(daily(spark, sf), first=1000, step=10, ends=320).select("symbol", "seq", q6("adf").alias("adf"))
+    return R.expanding_adf(daily(spark, sf), first=1000, ends=160).select("symbol", "seq", q6("adf").alias("adf"))
 
 
 @query()
 def supremum_adf(spark, sf):
-    return R.supremum_adf(daily(spark, sf), first=200, step=50, shortest=200, start_step=50, ends=800).select("symbol", "seq", q6("sadf").alias("sadf"))
+    return R.supremum_adf(daily(spark, sf), first=200, shortest=200, ends=160).select("symbol", "seq", q6("sadf").alias("sadf"))
 
 
 @query()
 def quantile_adf(spark, sf):
-    out = R.quantile_adf(daily(spark, sf), first=400, step=100, shortest=200, start_step=50, ends=800)
+    out = R.quantile_adf(daily(spark, sf), first=400, shortest=200, ends=160)
     return out.select("symbol", "seq", *(q6(c).alias(c) for c in ("qadf", "cadf", "cadf_std")))
 
 
 @query()
 def martingale_tests(spark, sf):
-    parts = [R.martingale_test(daily(spark, sf), kind=k, penalty=0.5, first=400, step=100, start_step=100).withColumn("kind", F.lit(k)) for k in ("poly1", "poly2", "exp", "power")]
+    parts = [R.martingale_test(daily(spark, sf), kind=k, penalty=0.5, first=400, step=1, start_step=1, ends=160).withColumn("kind", F.lit(k)) for k in ("poly1", "poly2", "exp", "power")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
