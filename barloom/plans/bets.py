@@ -410,7 +410,7 @@ def ou_with_fallback(spark, sf):
 
 def _rules(spark, short=False):
     grid = O.rule_grid(1.0)
-    return O.simulate_rules(spark, 0.0, 10.0, 1.0, grid, grid, paths=10_000, longest=100, start=0.5, seed=7, short=short)
+    return O.simulate_rules(spark, 0.0, 10.0, 1.0, grid, grid, paths=100_000, longest=200, start=0.5, seed=7, short=short)
 
 
 @query()

@@ -141,6 +141,10 @@ def csw(spark, sf):
     return R.csw_statistic(daily(spark, sf), CSW_W, CSW_LEAST, block=500)
 
 
+def csw_full(spark, sf):
+    return R.csw_statistic(daily(spark, sf), block=500)
+
+
 @query(CSW)
 def csw_test(spark, sf):
     return csw(spark, sf).select("symbol", "seq", q6("csw").alias("csw"))
@@ -151,6 +155,17 @@ def csw_critical_value(spark, sf):
     return R.critical_value(csw(spark, sf).withColumn("csw", q6("csw")), "csw").select("symbol", q6("critical").alias("critical"))
 
 
+# the two above keep the window of their SQL; these test every departure of the last 2,000 rows, too many pairs for it
+@query()
+def csw_test_2000(spark, sf):
+    return csw_full(spark, sf).select("symbol", "seq", q6("csw").alias("csw"))
+
+
+@query()
+def csw_critical_value_2000(spark, sf):
+    return R.critical_value(csw_full(spark, sf).withColumn("csw", q6("csw")), "csw").select("symbol", q6("critical").alias("critical"))
+
+
 SDFC = f"""{SERIES}, d AS (SELECT symbol, seq, ts, rn, close - lag(close) OVER (ORDER BY rn) AS y, lag(close) OVER (ORDER BY rn) AS x FROM c),
 z AS (SELECT *, row_number() OVER (ORDER BY rn) - 1 AS i, count(*) OVER () AS n, sum(y * y) OVER () AS syy, sum(x * x) OVER o AS sxx, sum(x * y) OVER o AS sxy FROM d WHERE x IS NOT NULL WINDOW o AS (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 t AS (SELECT symbol, seq, ts, sxy / sxx AS delta, sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (n - 1) / sxx) AS sdfc FROM z WHERE i >= floor(n * 0.15) AND i < ceil(n * (1 - 0.15::DOUBLE)))"""

@@ -9,6 +9,7 @@ from barloom.operators.stationarity import _fit
 from barloom.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
+LONGER = "/root/testdata/sf0.01"
 VALUES = 500 + np.cumsum(np.random.default_rng(5).normal(size=140))
 
 
@@ -65,3 +66,32 @@ def test_martingale_query_goes_through_every_end(spark):
     days = catalog.QUERIES["ar1_design"](spark, DATA).count() + 2
     rows = catalog.QUERIES["martingale_tests"](spark, DATA).groupBy("kind").count().collect()
     assert {r["kind"]: r["count"] for r in rows} == dict.fromkeys(("poly1", "poly2", "exp", "power"), days - 400)
+
+
+def csw_brute(v, window, least):
+    out = {}
+    for t in range(window, len(v)):
+        past = v[t - window : t]
+        found = [(past[-1] - past[n]) / (np.std(np.diff(past[n:]), ddof=1) * np.sqrt(len(past) - n)) for n in range(window - least)]
+        out[t] = max(found)
+    return out
+
+
+@pytest.mark.parametrize("window,block", [(60, 16), (100, 500)])
+def test_csw_like_the_definition(walk, window, block):
+    got = {r["seq"]: r["csw"] for r in breaks.csw_statistic(walk, window, 20, block=block).collect()}
+    assert got == pytest.approx(csw_brute(VALUES, window, 20), abs=1e-8)
+
+
+def test_csw_query_over_2000_rows(spark):
+    values = catalog.QUERIES["csw_test_2000"](spark, LONGER).collect()
+    days = catalog.QUERIES["ar1_design"](spark, LONGER).count() + 2
+    assert len(values) == days - 2000
+    short = {r["seq"]: r["csw"] for r in catalog.QUERIES["csw_test"](spark, LONGER).collect()}
+    assert all(r["csw"] >= short[r["seq"]] for r in values) and any(r["csw"] > short[r["seq"]] for r in values)
+    critical = catalog.QUERIES["csw_critical_value_2000"](spark, LONGER).first()["critical"]
+    assert critical == pytest.approx(np.quantile([r["csw"] for r in values], 0.99), abs=2e-6)
+
+
+def test_rules_see_100_000_paths(spark):
+    assert {r["n"] for r in catalog.QUERIES["trading_rule_grid"](spark, DATA).collect()} == {100_000}
