@@ -42,17 +42,29 @@ def asof_forward_offset(spark, sf):
     return out.select("symbol", "seq", "price", us("match_ts").alias("match_us"))
 
 
-@query(
-    f"""WITH {X.SQL_TRADES}, i AS (SELECT symbol, seq, ts AS t0, ts + INTERVAL 2 DAYS AS t1 FROM trades WHERE seq % 3 = 0)
+def _interval_sql(which: str = "") -> str:
+    return f"""WITH {X.SQL_TRADES}, i AS (SELECT symbol, seq, ts AS t0, ts + INTERVAL 2 DAYS AS t1 FROM trades{which})
     SELECT i.symbol, i.seq, count(*) AS n, max(t.price) AS high, {X.sql_us("max(t.ts)")} AS last_us FROM i JOIN trades t ON t.symbol = i.symbol AND t.ts BETWEEN i.t0 AND i.t1 GROUP BY i.symbol, i.seq"""
-)
-def interval_join(spark, sf):
-    t = X.trades(spark, sf)
-    i = t.filter("seq % 3 = 0").select("symbol", F.col("seq").alias("event"), F.col("ts").alias("t0"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("t1"))
+
+
+def _points_inside(t, starts):
+    i = starts.select("symbol", F.col("seq").alias("event"), F.col("ts").alias("t0"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("t1"))
     out = J.interval_join(i, t.select("symbol", "ts", "price"), bucket_seconds=2 * 86400)
     return out.groupBy("symbol", F.col("event").alias("seq")).agg(F.count("*").alias("n"), F.max("price").alias("high"), us(F.max("ts")).alias("last_us"))
 
 
+@query(_interval_sql(" WHERE seq % 3 = 0"))
+def interval_join(spark, sf):
+    t = X.trades(spark, sf)
+    return _points_inside(t, t.filter("seq % 3 = 0"))
+
+
+@query(_interval_sql())
+def interval_join_all(spark, sf):
+    t = X.trades(spark, sf)
+    return _points_inside(t, t)
+
+
 @query(
     f"""WITH {X.SQL_INTERVALS}, p AS (SELECT DISTINCT symbol, t AS ts FROM (SELECT symbol, t0 AS t FROM intervals UNION ALL SELECT symbol, t1 FROM intervals))
     SELECT p.symbol, {X.sql_us("p.ts")} AS ts_us, count(i.seq) AS n, {Q("coalesce(sum(i.signal), 0)")} AS signal
