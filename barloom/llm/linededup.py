@@ -2,8 +2,8 @@
 
 A unit is a line (or, with ``separator="\\n\\n"``, a paragraph) of at least
 ``MIN_WORDS`` words, and within a line of several sentences each sentence of at least
-``MIN_SENTENCE`` words: passages that were pasted into a line are found by the sentences
-inside them.  A unit is normalised (lower case, runs of white space as one
+``MIN_SENTENCE`` words (what the SQL of the query states; the pipeline takes those of ``MIN_WORDS``):
+passages that were pasted into a line are found by the sentences inside them.  A unit is normalised (lower case, runs of white space as one
 space) and hashed to 128 bits.  Digests are grouped globally: the occurrence with
 the smallest ``(doc_id, offset)`` stays and all others are removed, with their
 character offsets in the original text.  Shorter units are never removed.  The first
@@ -44,7 +44,7 @@ _UNITS = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("begin", pa.int32()),
 _SENTENCE_END = re.compile(r"(?<=[.!?]) ")
 
 
-def split_units(text: str, separator: str = SEPARATOR, min_words: int = MIN_WORDS):
+def split_units(text: str, separator: str = SEPARATOR, min_words: int = MIN_WORDS, min_sentence: int = MIN_SENTENCE):
     """``(begin, stop, digest)`` of each unit that counts; offsets in code points."""
     begin = 0
     for line in text.split(separator):
@@ -56,7 +56,7 @@ def split_units(text: str, separator: str = SEPARATOR, min_words: int = MIN_WORD
                 at = begin
                 for sentence in sentences:
                     words = sentence.lower().split()
-                    if len(words) >= MIN_SENTENCE:
+                    if len(words) >= min_sentence:
                         yield at, at + len(sentence), _digest(words)
                     at += len(sentence) + 1
         begin += len(line) + len(separator)
@@ -71,14 +71,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))).withColumn("_t", F.xxhash64(F.col("text").cast("string")))
 
 
-def units(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MIN_WORDS) -> DataFrame:
+def units(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MIN_WORDS, min_sentence: int = MIN_SENTENCE) -> DataFrame:
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 columns, digests = ([], [], [], []), []
                 for k, t, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    for begin, stop, digest in split_units(text, separator, min_words):
+                    for begin, stop, digest in split_units(text, separator, min_words, min_sentence):
                         for column, v in zip(columns, (k, t, begin, stop)):
                             column.append(v)
                         digests.append(digest)
@@ -88,9 +88,9 @@ def units(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MIN_WORD
     return map_batches(keyed(docs).filter("text IS NOT NULL").select("_k", "_t", F.col("text").cast("string")), run, UNITS)
 
 
-def removed_spans(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_spans(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MIN_WORDS, min_sentence: int = MIN_SENTENCE) -> DataFrame:
     """``k, t, spans`` of every document that loses a unit; spans are ``(begin, stop, first_doc_id)`` in order."""
-    found = units(docs, separator, min_words)
+    found = units(docs, separator, min_words, min_sentence)
     place = F.struct("k", "begin", "t")
     repeated = found.select("h1", "h2", place.alias("p")).groupBy("h1", "h2").agg(F.min("p").alias("first"), F.max("p").alias("other")).filter("first <> other").drop("other")
     later = found.join(repeated, ["h1", "h2"]).filter(place > F.col("first"))
@@ -116,9 +116,9 @@ def without_spans(text: str, spans: list[tuple[int, int]], separator: str = SEPA
     return separator.join(kept)
 
 
-def dedup_table(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MIN_WORDS, out: str = "removed") -> DataFrame:
+def dedup_table(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MIN_WORDS, out: str = "removed", min_sentence: int = MIN_SENTENCE) -> DataFrame:
     """``docs`` with ``text`` less its removed units, and ``removed``: their spans (null if none)."""
-    spans = removed_spans(docs, separator, min_words).select(F.col("k").alias("_sk"), F.col("t").alias("_st"), F.col("spans").alias(out))
+    spans = removed_spans(docs, separator, min_words, min_sentence).select(F.col("k").alias("_sk"), F.col("t").alias("_st"), F.col("spans").alias(out))
     joined = keyed(docs).join(spans, (F.col("_k") == F.col("_sk")) & (F.col("_t") == F.col("_st")), "left").drop("_k", "_t", "_sk", "_st")
     at, schema = joined.columns.index("text"), joined.schema
 
@@ -133,15 +133,15 @@ def dedup_table(docs: DataFrame, separator: str = SEPARATOR, min_words: int = MI
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (with ``n_chars``) less all repeated lines; a text of which nothing is left goes."""
-    out = dedup_table(docs, out="_removed")
+    out = dedup_table(docs, out="_removed", min_sentence=MIN_WORDS)
     left = F.col("_removed").isNull() | ~F.col("text").rlike(r"\A\s*\z")
     kind = docs.schema["n_chars"].dataType
     return out.filter(left).withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind))).select(*docs.columns)
 
 
-def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _query(spark: SparkSession, sf_dir: str, min_sentence: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
-    out = dedup_table(docs)
+    out = dedup_table(docs, min_sentence=min_sentence)
     spans = F.transform("removed", lambda s: F.concat_ws("-", s["begin"], s["stop"]))
     firsts = F.array_sort(F.array_distinct(F.transform("removed", lambda s: s["first_doc_id"])))
     return out.select(
@@ -154,7 +154,17 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL = rf"""
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _query(spark, sf_dir, MIN_SENTENCE)
+
+
+def op6_substring_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences count from as many words as lines do."""
+    return _query(spark, sf_dir, MIN_WORDS)
+
+
+def _sql(min_sentence: int) -> str:
+    return rf"""
 WITH line AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
   FROM documents WHERE text IS NOT NULL
@@ -173,7 +183,7 @@ sentence AS (
 unit AS (
   SELECT doc_id, line_no, 0 AS part_no, begin_at, begin_at + length(line) AS stop_at, line AS unit, {MIN_WORDS} AS least FROM placed
   UNION ALL
-  SELECT doc_id, line_no, part_no, begin_at, begin_at + length(part), part, {MIN_SENTENCE} FROM sentence
+  SELECT doc_id, line_no, part_no, begin_at, begin_at + length(part), part, {min_sentence} FROM sentence
   WHERE n_parts > 1 AND (doc_id, line_no) IN (SELECT (doc_id, line_no) FROM placed WHERE len(string_split(trim(regexp_replace(lower(line), '\s+', ' ', 'g')), ' ')) >= {MIN_WORDS})
 ),
 norm AS (SELECT *, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm FROM unit),
@@ -200,3 +210,6 @@ SELECT d.doc_id AS doc_id, c.text AS text, coalesce(length(c.text), 0)::BIGINT A
        coalesce(s.spans, '') AS removed_spans, coalesce(s.firsts, '') AS first_doc_ids
 FROM documents d LEFT JOIN clean c USING (doc_id) LEFT JOIN spans s USING (doc_id)
 """
+
+
+SQL, SQL_ALL = _sql(MIN_SENTENCE), _sql(MIN_WORDS)

@@ -11,6 +11,7 @@ QUERIES = {
     "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
     "op5_embedding_near_dedup": vectordedup.op5_embedding_near_dedup,
     "op6_substring_dedup": linededup.op6_substring_dedup,
+    "op6_substring_dedup_all": linededup.op6_substring_dedup_all,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_sentencepiece": pieces.op9_sentencepiece,
@@ -22,4 +23,5 @@ SQL = {
     "op2_ngram_jaccard_join": ngramjoin.SQL,
     "op5_embedding_near_dedup": vectordedup.SQL,
     "op6_substring_dedup": linededup.SQL,
+    "op6_substring_dedup_all": linededup.SQL_ALL,
 }
