@@ -46,19 +46,22 @@ class Encoder:
     Texts of characters on which the Unicode tables of both libraries agree (``PLAIN``:
     ASCII and the Latin blocks) go to ``tiktoken``, loaded with the very vocabulary of the
     tokenizer file, which is several times faster; all others go to ``tokenizers``.
+    With ``added``, the strings of added tokens in a text are those tokens, as the library
+    has it by default, and texts that hold one go to ``tokenizers``; else they are text.
     """
 
     PLAIN = re.compile("[\\t\\n\\r -~\u00a1-\u00ac\u00ae-\u024f\u2010-\u2027\u20ac]*")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = re.compile("|".join(map(re.escape, special))) if added and special else None
         byte_of = self._bytes(ByteLevel.alphabet())
         ranks = {bytes(byte_of[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -72,15 +75,15 @@ class Encoder:
         return own | {chr(256 + k): b for k, b in enumerate(rest)}
 
     def ids(self, text: str) -> np.ndarray:
-        if text.isascii() and text.isprintable() or self.PLAIN.fullmatch(text):
+        if (text.isascii() and text.isprintable() or self.PLAIN.fullmatch(text)) and not (self.added and self.added.search(text)):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @functools.lru_cache(1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """One for each worker."""
-    return Encoder(path)
+    return Encoder(path, added)
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
@@ -89,7 +92,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(path).ids
+        encode = encoder(path, added=True).ids
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
