@@ -3,9 +3,10 @@
 Vectors are compared only within a label, by cosine in double precision.  Equal vectors
 are one class first.  The two halves of the normalised vectors have a codebook each
 (k-means on a bounded sample); a vector lies in the cell of its nearest pair of
-centroids.  A query visits cells in the order of a lower bound of its squared distance to
-them (the sum of the halves' distances to the Voronoi borders) until the bound passes a stop
-that ``calibrate`` sets for a target recall; every vector in a visited cell is then verified.
+centroids.  A query visits, in no order, all cells for which a lower bound of its squared distance
+to them (the sum of the halves' distances to the Voronoi borders) is at most a stop, the same for
+all queries, that ``calibrate`` sets for a target recall; every vector in a visited cell is then
+verified.  A traversal in the order of the bound would visit the same cells.
 
 A query travels once to each first-half slab it visits, with the second-half cells it wants
 there as a bit mask.  Slabs are cut into blocks of at most about ``BLOCK`` rows on either
