@@ -15,6 +15,7 @@ from .registry import query
 
 NUMBERED = f"WITH {X.SQL_SAMPLES}, p AS (SELECT *, row_number() OVER (ORDER BY t0, row_id) - 1 AS pos, count(*) OVER () AS n FROM samples)"
 FEW = [f"f{k}" for k in range(6)]
+ALL = [f"f{k}" for k in range(64)]
 
 
 def samples(spark, sf, features=6):
@@ -132,7 +133,7 @@ def bagged_tree_scores(spark, sf):
 
 @query()
 def out_of_bag_accuracy(spark, sf):
-    return _one(spark, oob=M.out_of_bag(samples(spark, sf), FEW, trees=5))
+    return _one(spark, oob=M.out_of_bag(samples(spark, sf, len(ALL)), ALL, trees=100))
 
 
 @query()
@@ -144,13 +145,13 @@ def cross_validated_scores(spark, sf):
 
 @query()
 def principal_components(spark, sf):
-    out, _ = M.principal_components(samples(spark, sf), FEW)
-    return out.select("row_id", *(q6(F.abs(f"pca_{k}")).alias(f"pca_{k}") for k in range(6)))
+    out, _ = M.principal_components(samples(spark, sf, len(ALL)), ALL)
+    return out.select("row_id", *(q6(F.abs(f"pca_{k}")).alias(f"pca_{k}") for k in range(len(ALL))))
 
 
 @query()
 def importance_mdi(spark, sf):
-    return M.importance_mdi(samples(spark, sf), FEW, trees=20)
+    return M.importance_mdi(samples(spark, sf, len(ALL)), ALL)
 
 
 @query()
