@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no ``spark.checkpoint.dir`` (tests, local mode).
+#: Used only in local mode where the session names no ``spark.checkpoint.dir``.
 FALLBACK_DIR = "file:///tmp/barloom-checkpoints"
 #: Texts are taken in parts of about so many bytes (a longer text is a part of its own).
 PART_BYTES = 1 << 20
@@ -24,11 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
+    """The folder that the driver and all executors share; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or FALLBACK_DIR).rstrip("/")
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """``wanted``, each with as many underscores added as it takes to clash with no column."""
+    low, out = {t.lower() for t in taken}, []
+    for w in wanted:
+        while w.lower() in low:
+            w += "_"
+        low.add(w.lower())
+        out.append(w)
+    return out
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor rereads them.  They go when the driver ends."""
 

@@ -10,7 +10,14 @@ neighbours moves between tasks.
 Words are runs of characters other than ASCII white space, lower-cased; fewer
 words than ``SHINGLE`` are one shingle; null and blank texts have the empty
 sketch.  Two empty sketches resemble each other fully, an empty one and another
-not at all.  Equal texts have equal sketches.
+not at all.  Equal texts have equal sketches.  ``as_text`` writes a sketch as 16
+hexadecimal digits a hash, in order, and ``from_text`` reads it back; the empty
+sketch is the empty string.
+
+``fingerprint_edits`` takes a null id as the lowest one; rows that share an id (or
+have none) follow each other by a hash of their text, and rows that repeat an id and a
+text are successors of each other.  An empty table gives no rows; a single row is its own
+successor; columns other than ``doc_id`` and ``text`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -56,6 +63,16 @@ def merge_all(df: DataFrame, by: list[str], sketch: str, k: int = K) -> DataFram
     return whole.groupBy(*by).agg(F.sort_array(F.collect_list("_h")).alias(sketch))
 
 
+def as_text(sketch: Column) -> Column:
+    """Without loss: each hash as 16 lower-case hexadecimal digits."""
+    return F.lower(F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+
+
+def from_text(text: Column) -> Column:
+    digits = F.transform(F.sequence(F.lit(0), F.floor(F.char_length(text) / 16).cast("int") - 1), lambda i: F.substring(text, (i * 16 + 1).cast("int"), F.lit(16)))
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.transform(digits, lambda x: F.conv(x, 16, -10).cast("long")))
+
+
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimated Jaccard similarity, 0 to 1."""
     union = merge(a, b, k)
@@ -104,8 +121,8 @@ def with_next(spark: SparkSession, docs: DataFrame, chunks: int | None = None) -
 
 
 def fingerprint_edits(spark: SparkSession, docs: DataFrame, k: int = K) -> DataFrame:
-    """Each document's fingerprint, its edited text's, and their likeness; the only shuffle
-    that carries texts puts each chunk's rows together."""
+    """Each document's fingerprint, its edited text's (both as text), and their likeness; the only
+    shuffle that carries texts puts each chunk's rows together."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = with_sketch(with_next(spark, docs).repartition("_chunk"), "text", "fingerprint", k)
     after = Window.partitionBy("_chunk").orderBy("_guest", F.desc("_k"), F.desc("_h"))
@@ -119,8 +136,8 @@ def fingerprint_edits(spark: SparkSession, docs: DataFrame, k: int = K) -> DataF
         "doc_id",
         "n_chars",
         F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"),
-        "fingerprint",
-        "edited_fingerprint",
+        as_text(fp).alias("fingerprint"),
+        as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         resemblance(fp, F.col("edited_fingerprint"), k).alias("near_edited"),
         resemblance(fp, F.col("_next.fingerprint"), k).alias("near_next"),
         distinct_shingles(fp, k).alias("distinct_shingles"),

@@ -7,10 +7,15 @@ smallest sum of rank differences (``PROFILE`` for an n-gram that the profile lac
 Counts are summed per task, then by Spark, so no language meets in one task;
 only ``PROFILE`` rows for each language reach the driver and the tasks.
 
+The languages are the distinct values of ``lang``; more than ``LANGUAGES_MOST`` of them are an
+error, since their profiles are gathered on the driver.
+
 Ties between n-grams go to the smaller code, ties between languages to the first
 by name.  Null texts and texts without a letter are ``und`` with score 0, and so is
 everything if nothing was learned.  Null languages aren't learned.  Repeated rows
-are predicted (and counted) as often as they occur; empty tables give no rows.
+are predicted (and counted) as often as they occur; empty tables give no rows.  Other columns of
+``predict``'s table are carried along; where it has a column named like a result, the result's name gets
+underscores added until it is free.
 """
 
 from __future__ import annotations
@@ -20,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import batch, map_batches, table
+from ._common import batch, free_names, map_batches, table
 
 PROFILE = 300
 UNDECIDED = "und"
+#: A documented bound on the languages that one set of profiles may have.
+LANGUAGES_MOST = 10_000
 FOLDS = 5
 #: A document must be at least so close to a profile to be kept by ``keep_identified``.
 LEAST_SCORE = 0.25
@@ -118,6 +125,8 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
     # the best of each part first: a language's n-grams needn't meet in one task
     part = counts.withColumn("_salt", F.pmod(F.hash("gram"), F.lit(32))).withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order)))
     best = part.filter(F.col("_r") <= profile).withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("_r") <= profile)
+    if rows.select("lang").distinct().limit(LANGUAGES_MOST + 1).count() > LANGUAGES_MOST:
+        raise ValueError(f"more than {LANGUAGES_MOST} languages")
     found: dict[str, list] = {}
     for r in sorted(best.select("lang", "gram", "_r").collect(), key=lambda r: (r["lang"], r["_r"])):
         found.setdefault(r["lang"], []).append(r["gram"])
@@ -148,6 +157,7 @@ class Profiles:
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; ``text`` alone decides."""
     names = docs.columns
+    out = free_names(names, *out)
     fields = [f for f in docs.schema.fields]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"{out[0]} string", f"{out[1]} double"])
     at = names.index("text")

@@ -8,8 +8,8 @@ driver, whatever the corpus), and returns runs of slots.  ``assign`` ranks the
 pieces within their length and joins each rank to its planned slot.
 
 A length may hold any share of all pieces: ranks are taken per
-``(length, salt)`` and shifted by the sizes of the lower salts, so no task gets
-a whole length.  Null and empty texts are documents of the single end token;
+``(length, salt)`` and shifted by the sizes of the lower salts, with as many salts as
+the most frequent length needs for parts of PART_PIECES, so no task gets a whole length.  Null and empty texts are documents of the single end token;
 repeated rows are packed as often as they occur; ties between equal lengths are
 broken by ``(doc_id, piece)``; an empty table packs to no rows; other columns
 are ignored.
@@ -33,8 +33,8 @@ from ._common import Scratch, batch, map_batches, table
 CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Ranks within a length are taken in so many independent parts.
-SALTS = 512
+#: Ranks within a length are taken in independent parts of about so many pieces.
+PART_PIECES = 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -46,22 +46,21 @@ class Encoder:
     Texts of characters on which the Unicode tables of both libraries agree (``PLAIN``:
     ASCII and the Latin blocks) go to ``tiktoken``, loaded with the very vocabulary of the
     tokenizer file, which is several times faster; all others go to ``tokenizers``.
-    With ``added``, the strings of added tokens in a text are those tokens, as the library
-    has it by default, and texts that hold one go to ``tokenizers``; else they are text.
+    Strings of added tokens in a text are those tokens, as the library has it by default:
+    texts that hold one go to ``tokenizers``.
     """
 
     PLAIN = re.compile("[\\t\\n\\r -~\u00a1-\u00ac\u00ae-\u024f\u2010-\u2027\u20ac]*")
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.added = re.compile("|".join(map(re.escape, special))) if added and special else None
+        self.added = re.compile("|".join(map(re.escape, special))) if special else None
         byte_of = self._bytes(ByteLevel.alphabet())
         ranks = {bytes(byte_of[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -81,9 +80,9 @@ class Encoder:
 
 
 @functools.lru_cache(1)
-def encoder(path: str, added: bool = False) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One for each worker."""
-    return Encoder(path, added)
+    return Encoder(path)
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
@@ -92,7 +91,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(path, added=True).ids
+        encode = encoder(path).ids
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
@@ -144,16 +143,20 @@ def plan_best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
     return runs
 
 
-def assign(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """``pieces`` (read twice) with ``sequence_id`` and ``offset``."""
+def assign(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, part: int = PART_PIECES) -> DataFrame:
+    """``pieces`` (read three times) with ``sequence_id`` and ``offset``."""
+    # one row per length, at most `capacity`
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    runs = plan_best_fit(histogram, capacity)
+    salts = 1 + max(histogram.values(), default=0) // part
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     parts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     lower = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     lowered = parts.select("length", "_salt", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_base"))
-    # one row per length, at most `capacity`
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs = plan_best_fit(histogram, capacity)
-    # The plan's rows are bounded by the capacity alone (a few per length), so it is sent to every task.
+    # sent to every task: a run ends a length, a room or an interval of sequences, of which there are at most
+    # two for each length and room, so the capacity alone bounds it
+    if len(runs) > 2 * capacity * (capacity + 1):
+        raise ValueError(f"a plan of {len(runs)} runs is beyond its bound")
     plan = spark.createDataFrame(runs, "length long, _lo long, _hi long, _seq long, _per long, _at long")
     ranked = salted.join(lowered, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1)
     slot = ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & (ranked["_rank"] >= plan["_lo"]) & (ranked["_rank"] < plan["_hi"])).drop(plan["length"])

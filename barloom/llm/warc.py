@@ -3,8 +3,10 @@
 ``write_archives`` deduplicates by payload digest (SHA-1): among records with
 equal payloads of at least ``min_bytes`` bytes the one with the smallest id is
 the ``response`` and the others become ``revisit`` records that name it.  Only
-digests and ids meet in the aggregation; it combines before the shuffle, and the
-join back to the pages is one that Spark can split where a digest is hot.
+digests and ids meet by digest: the aggregation combines before its shuffle, and its
+result is a table before it is joined to the ids, so that the join has an exchange on both
+sides and Spark can split it where a digest is hot.  Payloads are joined to what their
+page refers to by page id and digest, never dealt by digest alone.
 
 ``read_chunks`` streams archives as the chunked record table: one row per
 ``(record, chunk_no)`` of at most ``chunk_bytes`` payload bytes, with the SHA-1
@@ -46,15 +48,23 @@ MANIFEST = "archive string, records long, bytes long"
 _MANIFEST = pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
 
-def record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def revisits(pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
+    """``page_id, _sha1, refers_to`` of every page and payload that refers to another page's."""
+    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+    large = pages.filter(F.col("page_id").isNotNull() & (F.length(payload) >= min_bytes))
+    ids = scratch.keep(large.select(F.col("page_id").cast("long"), F.sha1(payload).alias("_sha1")), "digests")
+    first = ids.groupBy("_sha1").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("_last")).filter("refers_to < _last").drop("_last")
+    first = scratch.keep(first, "firsts")
+    return scratch.keep(ids.join(first, "_sha1").filter("page_id <> refers_to").distinct(), "revisits")
+
+
+def record_types(pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
     """``page_id, url, payload, refers_to``; refers_to is null for responses."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
-    rows = rows.withColumn("_sha1", F.sha1("payload"))
-    large = (F.length("payload") >= min_bytes) & F.col("page_id").isNotNull()
-    first = rows.filter(large).groupBy("_sha1").agg(F.min("page_id").alias("_first"), F.max("page_id").alias("_last"))
-    first = first.filter("_first < _last").drop("_last")
-    return rows.join(first, "_sha1", "left").select("page_id", "url", "payload", F.when(large & (F.col("page_id") != F.col("_first")), F.col("_first")).alias("refers_to"))
+    # null ids match nothing; their urls spread them
+    rows = rows.withColumn("_sha1", F.when(F.col("page_id").isNull(), F.concat(F.lit("-"), F.coalesce("url", F.lit("")))).otherwise(F.sha1("payload")))
+    return rows.join(revisits(pages, scratch, min_bytes), ["page_id", "_sha1"], "left").select("page_id", "url", "payload", "refers_to")
 
 
 def sha1_base32(digest: bytes) -> str:
@@ -115,7 +125,7 @@ class ArchiveWriter:
             self.out = None
 
 
-def write_archives(spark: SparkSession, pages: DataFrame, folder: str, min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def write_archives(scratch: Scratch, pages: DataFrame, folder: str, min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write ``pages`` as archives below ``folder``; returns the lazily written manifest."""
 
     def run(batches):
@@ -128,7 +138,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, min_bytes
         writer.close()
         yield batch(_MANIFEST, *(list(c) for c in zip(*writer.done))) if writer.done else batch(_MANIFEST, [], [], [])
 
-    return map_batches(record_types(pages, min_bytes), run, MANIFEST)
+    return map_batches(record_types(pages, scratch, min_bytes), run, MANIFEST)
 
 
 CHUNKS = "archive string, record_no long, page_id long, url string, record_type string, refers_to long, chunk_no int, last boolean, data binary, bytes_so_far long, sha1_so_far string, declared_sha1 string, declared_bytes long"
@@ -248,7 +258,7 @@ def summaries(chunks: DataFrame) -> DataFrame:
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write archives to the shared folder, then return their chunked record table."""
     scratch = Scratch(spark, "warc")
-    manifest = scratch.keep(write_archives(spark, pages, scratch.path("archives"), min_bytes, chunk_bytes), "manifest")
+    manifest = scratch.keep(write_archives(scratch, pages, scratch.path("archives"), min_bytes, chunk_bytes), "manifest")
     return read_chunks(manifest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "archive"), chunk_bytes)
 
 

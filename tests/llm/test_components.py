@@ -1,7 +1,9 @@
 import random
 
+from skew import final_plan, skewed
+
 from barloom.llm._common import Scratch
-from barloom.llm.components import components
+from barloom.llm.components import components, joined_least
 
 
 def test_random_graph(spark):
@@ -25,3 +27,16 @@ def test_random_graph(spark):
 
 def test_no_links(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test"), "none").count() == 0
+
+
+def test_hub_is_split(spark):
+    """One node with most of the links: its star's join is split."""
+    links = [(0, i) for i in range(1, 3000)] + [(4000 + 2 * i, 4001 + 2 * i) for i in range(1000)]
+    with skewed(spark):
+        edges = spark.createDataFrame([(b, a) for a, b in links], "u long, v long").repartition(8)
+        both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
+        joined, _ = joined_least(both, Scratch(spark, "test"), "least")
+        rows, plan = final_plan(joined)
+        assert len(rows) == 2 * len(links) and "skew=true" in plan
+        got = components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test"), "hub")
+        assert got.filter("component = 0").count() == 3000

@@ -39,21 +39,31 @@ def brute(rows):
         k = len(text) // 3
         edited = text[: len(text) - k] + after[:k]
         a, b = sketch(text), sketch(edited)
-        out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b, likeness(a, b), likeness(a, sketch(after))))
+        out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), written(a), written(b), likeness(a, b), likeness(a, sketch(after))))
     return sorted(out, key=repr)
 
 
 ROWS = [(i * 3, " ".join(f"word{(i * j) % 17}É" for j in range(i * 5)), 0, "x") for i in range(40)] + [(200, None, 0, "x"), (201, "", 0, "x"), (202, "🙂é漢" * 40, 0, "x"), (203, "a b", 0, "x"), (204, "a b", 0, "x"), (None, "last one here", 0, None)]
 
 
+def written(sketch):
+    return "".join(f"{h % (1 << 64):016x}" for h in sketch)
+
+
 def rows_of(df):
-    return sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], list(r["fingerprint"]), list(r["edited_fingerprint"]), r["near_edited"], r["near_next"]) for r in df.collect()), key=repr)
+    return sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in df.collect()), key=repr)
 
 
 def test_like_brute_force(spark):
     assert rows_of(P.fingerprint_edits(spark, spark.createDataFrame(ROWS, SCHEMA))) == brute(ROWS)
 
 
+def test_text_of_a_sketch_is_read_back(spark):
+    df = spark.createDataFrame([([-(2**63), -1, 0, 5, 2**63 - 1],), ([],)], "s array<bigint>")
+    got = df.select("s", P.as_text(F.col("s")).alias("t")).select("s", "t", P.from_text(F.col("t")).alias("back")).collect()
+    assert all(list(r["s"]) == list(r["back"]) and r["t"] == written(r["s"]) for r in got)
+
+
 def test_single_row_and_empty(spark):
     assert rows_of(P.fingerprint_edits(spark, spark.createDataFrame(ROWS[9:10], SCHEMA))) == brute(ROWS[9:10])
     assert P.fingerprint_edits(spark, spark.createDataFrame([], SCHEMA)).count() == 0

@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -57,3 +60,49 @@ def test_keep_identified_keeps_columns(spark):
     more = df.unionByName(spark.createDataFrame([(99, "1234 5678", "en", "s")], df.schema))
     kept = L.keep_identified(more)
     assert kept.columns == df.columns and kept.count() == 60
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, EN, "a", 2.0)], "doc_id long, text string, lang_pred string, Score double")
+    got = L.predict(df, L.learn(docs(spark)))
+    assert got.columns == ["doc_id", "text", "lang_pred", "Score", "lang_pred_", "score_"]
+    assert got.first()["lang_pred_"] == "en"
+
+
+def profile_of(texts, size):
+    """Ranking of letter n-grams straight from the definition."""
+    n = Counter()
+    for t in texts:
+        for word in re.findall("[^\\W\\d_]+", t):
+            w = word.lower() if len(word.lower()) == len(word) else "".join(c.lower()[0] for c in word)
+            n.update(w)
+            padded = f" {w} "
+            n.update(padded[i : i + 2] for i in range(len(padded) - 1))
+            n.update(padded[i : i + 3] for i in range(len(padded) - 2))
+
+    def code(g):
+        value = 0
+        for c in g:
+            value = value << 16 | (0 if c == " " else ord(c))
+        return value | (len(g) - 1) << 60
+
+    return sorted(n, key=lambda g: (-n[g], code(g)))[:size]
+
+
+def test_query_like_brute_force(spark):
+    import duckdb
+
+    rows = duckdb.sql("SELECT doc_id, text, lang FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    import zlib
+
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 and r[2] is not None and r[1] is not None]
+    profiles = {lang: {g: i for i, g in enumerate(profile_of([r[1] for r in train if r[2] == lang], L.PROFILE))} for lang in sorted({r[2] for r in train})}
+    want = {}
+    for doc, text, _ in rows:
+        own = profile_of([text or ""], L.PROFILE)
+        sums = {lang: sum(abs(p[g] - i) if g in p else L.PROFILE for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sums, key=lambda k: (sums[k], k))
+        want[doc] = (best, max(0.0, 1 - sums[best] / (L.PROFILE * len(own)))) if own else ("und", 0.0)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.op3_language_id(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == want.keys()
+    assert [k for k in got if got[k][0] != want[k][0] or abs(got[k][1] - want[k][1]) > 1e-12] == []

@@ -12,7 +12,6 @@ from barloom.llm import packing as K
 SCHEMA = "doc_id long, text string, length string, piece string"
 PATH = public_tokenizers.path(K.TOKENIZER)
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 
 
 @settings(max_examples=300, deadline=None)
@@ -81,5 +80,11 @@ def test_table(spark):
     assert len(by) == best_fit([r["length"] for r in got], 64)
 
 
+def test_many_parts_of_a_length_rank_alike(spark):
+    pieces = K.cut_pieces(spark.createDataFrame(ROWS, SCHEMA), 64)
+    whole, parted = (K.assign(spark, pieces, 64, part).groupBy("sequence_id").sum("length").collect() for part in (10**6, 7))
+    assert sorted(r[1] for r in whole) == sorted(r[1] for r in parted)
+
+
 def test_empty_table(spark):
     assert K.pack(spark, spark.createDataFrame([], SCHEMA)).count() == 0

@@ -5,7 +5,7 @@ import duckdb
 from barloom.llm import linededup as D
 from barloom.llm import registry
 
-PASSAGE = "One two three four five. Six seven eight nine ten eleven."
+PASSAGE = "One two three four five. Six seven eight nine ten eleven. Twelve and thirteen and so on. Until it is long enough for a run of them."
 
 
 def test_pipeline_removes_passages_of_short_sentences(spark):

@@ -2,7 +2,11 @@ import base64
 import gzip
 import hashlib
 
+from pyspark.sql import functions as F
+from skew import final_plan, skewed
+
 from barloom.llm import warc
+from barloom.llm._common import Scratch
 
 SCHEMA = "page_id long, url string, html string, extra string"
 
@@ -67,3 +71,17 @@ def test_broken_archive_is_an_error(tmp_path):
     except ValueError:
         return
     raise AssertionError("a cut archive was read")
+
+
+def test_hot_payload_is_split(spark):
+    """70 % of all pages have one payload: neither join has them all in one task."""
+    rows = [(i, f"http://h/{i}", "hot" if i % 10 < 7 else f"page {i}", "e") for i in range(4000)]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    with skewed(spark):
+        scratch = Scratch(spark, "test")
+        assert warc.revisits(pages, scratch).count() == 2799
+        ids, first = (spark.read.parquet(scratch.path(x)) for x in ("digests", "firsts"))
+        rows, plan = final_plan(ids.join(first, "_sha1"))
+        assert len(rows) == 2800 and "skew=true" in plan
+        _, plan = final_plan(warc.record_types(pages, Scratch(spark, "test")))
+        assert "hashpartitioning(page_id" in plan
