@@ -38,16 +38,16 @@ have 64 bits, so a false equality among a billion distinct sets has a chance of
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, batch, map_batches, table, text_parts
+from ._common import Scratch, batch, map_batches, table
 from .components import components
+from .hashing import MIX, finish, pair_hashes, token_parts
+from .hashing import U as _U
 from .sketches import IdBitmap
 
 SHINGLE = 5
@@ -67,64 +67,22 @@ LIGHT_MOST = 128
 #: Digests that a task remembers to drop copies.
 REMEMBERED = 500_000
 
-_U = np.uint64
-_R = _U(0x9E3779B97F4A7C15)
-_MIX = [_U(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_WORD = np.ones(256, bool)
-_WORD[[32, 9, 10, 11, 12, 13]] = False
-
-
-def _finish(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(30))) * _MIX[0]
-    h = (h ^ (h >> _U(27))) * _MIX[1]
-    return h ^ (h >> _U(31))
-
-
-@functools.lru_cache(2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2 ** 64."""
-    out = []
-    for base in (int(_R), pow(int(_R), -1, 1 << 64)):
-        power = np.full(size, base, _U)
-        power[0] = 1
-        out.append(np.multiply.accumulate(power))
-    return tuple(out)
-
-
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(hash, first byte)`` of every word of the bytes: a polynomial in the byte values,
-    taken as the difference of two prefix sums and shifted to begin at power 0."""
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = _WORD[data]
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    first, stop = edge[::2], edge[1::2]
-    up, down = _powers(1 << max(20, len(data).bit_length()))
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((_LOWER[data].astype(_U) + _U(1)) * up[: len(data)], out=sums[1:])
-    return _finish((sums[stop] - sums[first]) * down[first]), first
+_WORD = np.ones(256, np.uint8)
+_WORD[[32, 9, 10, 11, 12, 13]] = 0
 
 
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE):
     """``(row, sorted distinct hashes)`` of every text of a string column that has words."""
-    for lo, data, starts, lengths in text_parts(column, 1 << 19):
-        spaced = data
-        # a text must not run into the next one: words are cut at starts by hashing texts apart with a space
-        if len(starts) > 1:
-            at = np.repeat(np.arange(len(starts)), lengths) + np.arange(len(data))
-            spaced = np.full(len(data) + len(starts), 32, np.uint8)
-            spaced[at] = data
-            starts = starts + np.arange(len(starts))
-        words, first = word_hashes(spaced)
-        bounds = np.append(np.searchsorted(first, starts), len(words))
+    for lo, words, bounds in token_parts(column, _WORD, _LOWER):
         if len(words) >= shingle:
             last = len(words) - shingle + 1
             mixed = np.zeros(last, _U)
             for k in range(shingle):
-                mixed += words[k : k + last] * _MIX[k % 5] * _U(2 * k + 1)
-            mixed = _finish(mixed)
-        for row in range(len(starts)):
+                mixed += words[k : k + last] * (MIX[k % 5] * _U(2 * k + 1))
+            mixed = finish(mixed)
+        for row in range(len(bounds) - 1):
             a, b = int(bounds[row]), int(bounds[row + 1])
             if b - a >= shingle:
                 found = np.sort(mixed[a : b - shingle + 1])
@@ -280,7 +238,7 @@ class KeyMaker:
         keys, places, flags = [], [], []
         if n <= self.boundary:
             a, b = np.triu_indices(len(first), 1)
-            keys.append(_finish(np.minimum(first[a], first[b]) * _MIX[2] + np.maximum(first[a], first[b]) * _MIX[3]))
+            keys.append(pair_hashes(np.minimum(first[a], first[b]), np.maximum(first[a], first[b])))
             places.append(a)
             flags.append(is_heavy[a] & is_heavy[b])
         if n > self.boundary or 100 * n // percent > self.boundary:
