@@ -5,8 +5,8 @@ five steps.
 
 1. ``describe``: every text's set of 64-bit shingle hashes, as its size, its digest and
    a parity sketch; documents with equal sets are one class from here on.  The tokens
-   that many documents hold (``heavy``, at most ``HEAVY_MOST`` of them) come last in the
-   global token order, all others in the order of their hash.
+   that many documents hold (``heavy``, at most ``HEAVY_MOST`` of them, by a threshold on their count) come last in
+   the global token order, all others in the order of their hash.
 2. Keys.  Two linked sets share at least ``c`` of the first
    ``n - ceil(percent * n / 100) + c`` tokens of each, for any global order.  A *light* set
    (``n <= boundary``) enumerates the 2-subsets of that prefix for ``c = 2``; a *heavy* one
@@ -21,19 +21,21 @@ five steps.
 4. What is outside a list's largest component then is paired with members of other
    components, if the places of the shared key in both orders leave room for enough
    overlap (exact bound: all common tokens come at or after the first), checked by sketch and
-   verified.  Pairs inside a component can't change the result and aren't made.
+   verified.  Before it meets anything, a member must leave room for a set as large as itself to be
+   the smaller side of a pair, and it meets only members whose size is in a bucket that can link: sets that
+   share a template but not the needed part of it form no pairs.  Pairs inside a component can't change the result and aren't made.
 5. Components of the verified links; the smallest doc_id of each.
 
-Lists of heavy tokens are dealt by ``(key, salt)``; all others are short.  Copies
-are dropped within each task before the shuffle, and meet only in aggregations
-that combine first.  The bitmap that picks the sets to verify has a fixed size.
+Lists of heavy tokens are dealt by ``(key, salt)``, in as many parts as the most frequent needs; all others are shorter
+than the least of these.  Copies are dropped within each task before the shuffle, and meet only in aggregations
+that combine first.  The bitmap that picks the sets to verify is sized by their number, up to a bound.
 
 Words are lower-cased (A-Z) runs of bytes other than ASCII white space; a text of fewer than
 ``shingle`` words is one shingle; null texts and texts without words have no set and
 link with nothing.  Rows that repeat a text link fully.  A null doc_id takes part like any
 other (the smallest id of a component is the smallest that isn't null, null if there is
-none).  An empty table gives no rows; other columns are ignored.  Hashes
-have 64 bits, so a false equality among a billion distinct sets has a chance of about 1 in 40.
+none).  An empty table gives no rows; other columns are ignored.  Sets are told apart by 128 bits: by 64, and by the other
+64 where two sets have the same 64 (``collided``).
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ from ._common import Scratch, batch, map_batches, table
 from .components import components
 from .hashing import MIX, finish, pair_hashes, token_parts
 from .hashing import U as _U
-from .sketches import IdBitmap
+from .sketches import IdBitmap, frequent
 
 SHINGLE = 5
 PERCENT = 80
@@ -60,7 +62,10 @@ LOCAL_LEAST = 3
 #: A task's table of tokens seen once has 2 ** 24 slots; counted tokens are buffered up to so many.
 SEEN_BITS = 24
 BUFFERED = 1_000_000
-SALTS = 64
+#: A heavy list is dealt in parts of about so many members.
+PART = 50_000
+#: Collisions of 64-bit digests that are sent to every task, at most.
+COLLIDED_MOST = 1 << 20
 PIVOTS = 4
 #: Sizes up to which enumerating subsets is considered.
 LIGHT_MOST = 128
@@ -80,7 +85,7 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE):
             last = len(words) - shingle + 1
             mixed = np.zeros(last, _U)
             for k in range(shingle):
-                mixed += words[k : k + last] * (MIX[k % 5] * _U(2 * k + 1))
+                mixed += words[k : k + last] * _U(int(MIX[k % 5]) * (2 * k + 1) % (1 << 64))
             mixed = finish(mixed)
         for row in range(len(bounds) - 1):
             a, b = int(bounds[row]), int(bounds[row + 1])
@@ -118,12 +123,26 @@ def prefix_size(n: int, percent: int, c: int = 1) -> int:
     return min(n, n - needed(n, percent) + c)
 
 
-DESCRIBED = "kind int, id long, t long, n long, c long, sketch binary"
-_DESCRIBED = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("sketch", pa.binary())])
+DESCRIBED = "kind int, id long, t long, n long, c long, c2 long, sketch binary"
+_DESCRIBED = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("c2", pa.int64()), ("sketch", pa.binary())])
 
 
-def digest(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+def digests(tokens: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two halves of a set's 128-bit digest, as signed numbers; fewer bits of the first for tests."""
+    whole = xxhash.xxh3_128_intdigest(tokens.tobytes())
+    first = whole & ((1 << bits) - 1)
+    return first - (1 << 64) if first >= 1 << 63 else first, (whole >> 64) - (1 << 63)
+
+
+class Naming:
+    """The class of a set: the first half of its digest, or the second where two sets share the first."""
+
+    def __init__(self, collided: frozenset[int] = frozenset(), bits: int = 64):
+        self.collided, self.bits = collided, bits
+
+    def __call__(self, tokens: np.ndarray) -> int:
+        first, second = digests(tokens, self.bits)
+        return second if first in self.collided else first
 
 
 class TokenCounter:
@@ -148,7 +167,7 @@ class TokenCounter:
         return tokens[often], n[often] + 1
 
 
-def describe(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def describe(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64) -> DataFrame:
     """Kind 0: a document's id, text hash, set size, class and sketch; kind 1: a token (``c``) and in how many texts of a task it is (``n``)."""
 
     def run(batches):
@@ -156,32 +175,40 @@ def describe(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
         def counted():
             tokens, n = counter.flush()
-            return batch(_DESCRIBED, [1] * len(n), [None] * len(n), [None] * len(n), n, tokens.view(np.int64), [None] * len(n))
+            return batch(_DESCRIBED, [1] * len(n), [None] * len(n), [None] * len(n), n, tokens.view(np.int64), [None] * len(n), [None] * len(n))
 
         for b in batches:
             ids, hashes, rows = b.column(0).to_pylist(), b.column(2).to_pylist(), []
             for row, tokens in shingle_sets(b.column(1), shingle):
-                rows.append((row, len(tokens), digest(tokens), parity_sketch(tokens)))
+                rows.append((row, len(tokens), *digests(tokens, bits), parity_sketch(tokens)))
                 counter.add(tokens)
                 if counter.size >= BUFFERED:
                     yield counted()
             without = set(range(b.num_rows)).difference(r[0] for r in rows)
-            rows += [(r, 0, None, None) for r in without]
-            yield batch(_DESCRIBED, [0] * len(rows), [ids[r[0]] for r in rows], [hashes[r[0]] for r in rows], *([r[i] for r in rows] for i in (1, 2, 3)))
+            rows += [(r, 0, None, None, None) for r in without]
+            yield batch(_DESCRIBED, [0] * len(rows), [ids[r[0]] for r in rows], [hashes[r[0]] for r in rows], *([r[i] for r in rows] for i in (1, 2, 3, 4)))
         yield counted()
 
     return map_batches(docs.select("doc_id", "text", F.xxhash64("text")), run, DESCRIBED)
 
 
+def keyless(n: int, percent: int) -> bool:
+    """Whether a set of ``n`` links with none but its equals, which are its class."""
+    return prefix_size(n, percent) == 1 and needed(n, percent) == n and 100 * n // percent == n
+
+
 def choose_boundary(sizes: dict[int, int], entries: float, percent: int = PERCENT, most: int = LIGHT_MOST) -> int:
     """The set size up to which enumerating 2-subsets costs less than scanning lists.
 
     ``sizes`` counts the classes of each size (those over ``most`` cost the same
-    either way); ``entries`` is the expected length of an inverted list."""
+    either way); ``entries`` is the expected length of an inverted list, each of whose members
+    a posted token may meet.  Two shared tokens are taken to be a link, which is verified either way."""
 
     def cost(boundary: int) -> float:
         total = 0.0
         for n, count in sizes.items():
+            if keyless(n, percent):
+                continue
             p2 = prefix_size(n, percent, 2)
             if n <= boundary:
                 total += count * p2 * (p2 - 1) / 2
@@ -220,8 +247,7 @@ class KeyMaker:
         """Keys, the place of each key's first token, whether its list may be long, and the share of
         tokens that aren't heavy in thousandths."""
         n, percent = len(tokens), self.percent
-        # the smallest size at which a different set can link
-        if prefix_size(n, percent) == 1 and needed(n, percent) == n and 100 * n // percent == n:
+        if keyless(n, percent):
             return tokens[:0], np.zeros(0, np.int64), np.zeros(0, bool), 0
         size = prefix_size(n, percent, 2)
         hit = np.zeros(n, bool)
@@ -249,7 +275,7 @@ class KeyMaker:
         return np.concatenate(keys), np.concatenate(places), np.concatenate(flags), 1000 - 1000 * int(hit.sum()) // n
 
 
-def post_keys(spark: SparkSession, docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, boundary: int, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+def post_keys(spark: SparkSession, docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, boundary: int, percent: int = PERCENT, shingle: int = SHINGLE, name: Naming = Naming()) -> DataFrame:
     """``key, c, heavy``: every class's keys, once a task."""
     shared = spark.sparkContext.broadcast((heavy, counts))
 
@@ -258,7 +284,7 @@ def post_keys(spark: SparkSession, docs: DataFrame, heavy: np.ndarray, counts: n
         for b in batches:
             keys, classes, infos, held = [], [], [], 0
             for _, tokens in shingle_sets(b.column(1), shingle):
-                c = digest(tokens)
+                c = name(tokens)
                 if c in seen:
                     continue
                 if len(seen) >= REMEMBERED:
@@ -278,13 +304,13 @@ def post_keys(spark: SparkSession, docs: DataFrame, heavy: np.ndarray, counts: n
     return map_batches(docs, run, KEYS)
 
 
-def lists(keys: DataFrame) -> DataFrame:
+def lists(keys: DataFrame, salts: int = 1) -> DataFrame:
     """``key, c, pivot`` of every list that holds two classes.
 
     One shuffle, by ``(key, salt)``: a rare token's list is whole in one task; a heavy
-    one's is in up to SALTS parts, whose pivots then meet in an aggregation."""
+    one's is in up to ``salts`` parts, whose pivots then meet in an aggregation."""
     fields = info_fields()
-    salt = F.when(fields["heavy"], F.pmod(F.hash("c"), F.lit(SALTS))).otherwise(0)
+    salt = F.when(fields["heavy"], F.pmod(F.hash("c"), F.lit(salts))).otherwise(0)
     dealt = keys.withColumn("salt", salt).repartition("key", "salt")
     pivot = F.pmod("key", F.lit(PIVOTS))
     order = F.struct(F.when(pivot < PIVOTS // 2, fields["rank"]).otherwise(0).alias("r"), F.xxhash64("c", pivot).alias("o"), F.col("c").alias("c"))
@@ -330,7 +356,7 @@ SETS = "c long, tokens array<bigint>"
 _SETS = pa.schema([("c", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE, name: Naming = Naming()) -> DataFrame:
     """``c, tokens`` of (at least) the wanted classes, read from the texts again."""
     bitmap = IdBitmap.of(wanted, "c", hashed=True)
 
@@ -339,7 +365,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataF
         for b in batches:
             out, sets = [], []
             for _, tokens in shingle_sets(b.column(1), shingle):
-                c = digest(tokens)
+                c = name(tokens)
                 if c in seen or not bitmap.has(c):
                     continue
                 if len(seen) >= REMEMBERED:
@@ -362,11 +388,11 @@ def _set_batch(classes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), tokens], schema=_SETS)
 
 
-def verified(scratch: Scratch, name: str, docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+def verified(scratch: Scratch, name: str, docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, naming: Naming = Naming()) -> DataFrame:
     """The pairs (``a, b``) that link, on their whole sets."""
     pairs = scratch.keep(pairs, f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    sets = scratch.keep(sets_of(docs, wanted, shingle).dropDuplicates(["c"]), f"{name}-sets")
+    sets = scratch.keep(sets_of(docs, wanted, shingle, naming).dropDuplicates(["c"]), f"{name}-sets")
     common = F.size(F.array_intersect("ta", "tb"))
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b")
     found = both.withColumn("common", common).filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
@@ -375,29 +401,59 @@ def verified(scratch: Scratch, name: str, docs: DataFrame, pairs: DataFrame, per
     return found
 
 
-def join_components(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+def size_bucket(n):
+    """Grows with the size, by one for each factor of 1.25."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25))).cast("int")
+
+
+def across(rest: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``ca, cb`` of every two members (``key, most, c, g, n, at``) of a list, of different components not both of
+    which are ``most``, whose sizes and places allow a link."""
+    room = F.col("n") - F.col("at")
+    # of a pair, the smaller side has room for an overlap with a set as large as itself
+    small = rest.filter((100 + percent) * room >= 2 * percent * F.col("n"))
+    largest = F.floor(100 * F.col("n") / percent).cast("int")
+    small = small.withColumn("bucket", F.explode(F.sequence(size_bucket(F.col("n")), size_bucket(largest))))
+    large = rest.withColumn("bucket", size_bucket(F.col("n")))
+    a, b = (x.select("key", "bucket", *([] if y == "b" else ["most"]), *(F.col(k).alias(k + y) for k in ("c", "g", "n", "at"))) for x, y in ((small, "a"), (large, "b")))
+    least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    fits = (F.col("na") <= F.col("nb")) & (percent * F.col("nb") <= 100 * F.col("na")) & (F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= least)
+    return a.join(b, ["key", "bucket"]).filter((F.col("ga") != F.col("gb")) & ((F.col("ga") != F.col("most")) | (F.col("gb") != F.col("most"))) & fits)
+
+
+def join_components(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, class_bits: int = 64) -> DataFrame:
     """``doc_id, n_shingles, component_id, text_hash`` of every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(spark, "ngramjoin")
-    described = scratch.keep(describe(docs, shingle), "described")
-    rows = described.filter("kind = 0").select(F.col("id").alias("doc_id"), "t", "n", "c")
+    described = scratch.keep(describe(docs, shingle, class_bits), "described")
+    sets = described.filter("kind = 0 AND n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("c2").alias("lo"), F.max("c2").alias("hi"))
+    classes = scratch.keep(sets, "classes")
+    collided = [r["c"] for r in classes.filter("lo <> hi").select("c").limit(COLLIDED_MOST + 1).collect()]
+    if len(collided) > COLLIDED_MOST:
+        raise ValueError(f"more than {COLLIDED_MOST} collisions of digests")
+    named, rows = Naming(frozenset(collided), class_bits), described.filter("kind = 0")
+    if collided:
+        apart = F.broadcast(classes.filter("lo <> hi").select(F.col("c").alias("_c"), F.lit(True).alias("_apart")))
+        rows = rows.join(apart, rows["c"] == F.col("_c"), "left").withColumn("c", F.when(F.col("_apart"), F.col("c2")).otherwise(F.col("c")))
+        classes = scratch.keep(rows.filter("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes-apart")
+    rows = rows.select(F.col("id").alias("doc_id"), "t", "n", "c")
 
     # at most HEAVY_MOST tokens and LIGHT_MOST + 1 sizes reach the driver
-    tokens = described.filter("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_DOCS)
-    top = tokens.orderBy(F.desc("n"), "c").limit(HEAVY_MOST).toArrow()
+    tokens = scratch.keep(described.filter("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_DOCS), "tokens")
+    top = tokens.filter(F.col("n") >= frequent(tokens, "n", HEAVY_MOST)).toArrow()
     heavy, counts = top.column("c").to_numpy().view(_U), top.column("n").to_numpy()
-    classes = scratch.keep(described.filter("kind = 0 AND n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     sizes = {r["s"]: r["k"] for r in classes.groupBy(F.least("n", F.lit(LIGHT_MOST + 1)).alias("s")).agg(F.count("*").alias("k")).collect()}
-    total = classes.agg(F.sum("n").alias("t")).first()["t"] or 1
+    total = described.filter("kind = 0").agg(F.sum("n").alias("t")).first()["t"] or 1
     boundary = choose_boundary(sizes, float((counts.astype(float) ** 2).sum()) / total, percent)
+    salts = 1 + int(counts.max(initial=0)) // PART
 
-    members = scratch.keep(lists(post_keys(spark, docs, heavy, counts, boundary, percent, shingle)), "members")
+    members = scratch.keep(lists(post_keys(spark, docs, heavy, counts, boundary, percent, shingle, named), salts), "members")
     # aggregates are written before they are joined back: an exchange on both sides lets Spark split a hot list
     pivots = scratch.keep(heavy_pivots(members), "pivots")
     members = scratch.keep(with_pivots(members, pivots), "lists")
     scratch.drop("members")
     stars = possible(ordered_pairs(members, "c", "pivot"), classes, percent)
-    links = verified(scratch, "stars", docs, stars, percent, shingle)
+    links = verified(scratch, "stars", docs, stars, percent, shingle, named)
     label = components(links, scratch, "star-components").withColumnRenamed("component", "g")
 
     # lists that still hold two components: those outside the largest one meet all others
@@ -406,12 +462,9 @@ def join_components(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     split = held.groupBy("key").agg(F.max(F.struct("k", "g")).alias("m"), F.count("*").alias("gs")).filter("gs > 1").select("key", F.col("m.g").alias("most"))
     split = scratch.keep(split, "split")
     rest = scratch.keep(labelled.join(split, "key"), "rest")
-    a, b = (rest.select("key", "most", *(F.col(x).alias(x + y) for x in ("c", "g", "n", "at"))) for y in "ab")
-    least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    room = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= least
-    cross = a.filter("ga <> most").join(b.drop("most"), "key").filter((F.col("ga") != F.col("gb")) & room)
+    cross = across(rest, percent)
     pairs = possible(ordered_pairs(cross, "ca", "cb"), classes, percent).join(scratch.spark.read.parquet(scratch.path("stars-pairs")).select("a", "b"), ["a", "b"], "left_anti")
-    more = verified(scratch, "rest", docs, pairs, percent, shingle)
+    more = verified(scratch, "rest", docs, pairs, percent, shingle, named)
     label = components(links.unionByName(more), scratch, "components").withColumnRenamed("component", "g")
 
     grouped = rows.join(label, rows["c"] == label["id"], "left").select("doc_id", "t", "n", F.coalesce("g", "c").alias("g"))

@@ -113,3 +113,57 @@ def test_info_fields(spark):
     info = J.packed(146, np.array([0, 5, 2**25]), np.array([True, False, True]), 1000)
     got = spark.createDataFrame([(int(i),) for i in info], "info long").select(*(c.alias(k) for k, c in J.info_fields().items())).collect()
     assert [tuple(r) for r in got] == [(146, 0, 1000, True), (146, 5, 1000, False), (146, 0, 1000, True)]
+
+
+def test_collisions_of_digests_are_told_apart(spark):
+    rows = corpus(5, 40)
+    got = J.join_components(spark, spark.createDataFrame(rows, SCHEMA), class_bits=4).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+def test_query_enumerates_subsets_at_its_own_boundary(spark, monkeypatch):
+    """Short texts of few common words: the boundary that the costs choose is well above 4, and 2-subsets make the result."""
+    rnd = random.Random(8)
+    rows = []
+    for k in range(60):
+        text = [f"w{rnd.randrange(60)}" for _ in range(24)]
+        for _ in range(20):
+            edited = list(text)
+            edited[rnd.choice([0, -1])] = f"x{rnd.randrange(4)}"
+            rows.append((len(rows) + 1, " ".join(edited), 0, "x"))
+    seen = []
+    choose = J.choose_boundary
+    monkeypatch.setattr(J, "choose_boundary", lambda *a, **k: seen.append(choose(*a, **k)) or seen[-1])
+    got = J.join_components(spark, spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+    assert seen[0] > 20 and max(len(shingle_set(r[1])) for r in rows) <= seen[0]
+
+
+def test_shared_template_without_links_makes_no_pairs(spark):
+    """Documents that share 82 % of their shingles don't link, and aren't paired either."""
+    base = " ".join(f"t{i}" for i in range(200))
+    rows = [(k, base + " " + " ".join(f"d{k}n{i}" for i in range(40)), 0, "x") for k in range(300)]
+    got = J.join_components(spark, spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+    rest = spark.createDataFrame([(1, 0, k, k, 236, 40) for k in range(300)], "key long, most long, c long, g long, n int, at int")
+    assert J.across(rest).count() == 0
+
+
+def test_pairs_across_components_like_all_pairs(spark):
+    rnd = random.Random(3)
+    members = [(rnd.randrange(3), 1, c, rnd.randrange(40), n := rnd.randrange(4, 60), rnd.randrange(0, 1 + n // 5)) for c in range(150)]
+    got = J.ordered_pairs(J.across(spark.createDataFrame(members, "key long, most long, c long, g long, n int, at int")), "ca", "cb").collect()
+    want = set()
+    for ka, most, ca, ga, na, ata in members:
+        for kb, _, cb, gb, nb, atb in members:
+            if ka == kb and ca < cb and ga != gb and 100 * min(na, nb) >= 80 * max(na, nb) and 180 * min(na - ata, nb - atb) >= 80 * (na + nb):
+                want.add((ca, cb))
+    assert {tuple(r) for r in got} == want and want
+
+
+def test_one_very_long_text(spark):
+    """Texts beyond a block of the hash, one of them a single word, are whole."""
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long, 0, "x"), (2, long + " tail", 0, "x"), (3, "x" * 1_500_000, 0, "x"), (4, "X" * 1_500_000, 0, "x"), (5, "x" * 1_500_001, 0, "x")]
+    got = J.join_components(spark, spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 199_996, 1), (2, 199_997, 1), (3, 1, 3), (4, 1, 3), (5, 1, 5)]
