@@ -1,26 +1,33 @@
-"""SentencePiece encoding and decoding with a weighted finite-state transducer.
-
-The model file is read as plain protocol-buffer fields and compiled into three machines:
-the normaliser (dummy prefix, white space to the mark U+2581), the pieces, and byte fallback
-for characters that no piece spells.  An input is composed with them and the shortest path in
-the tropical semiring (weights add along a path, the smallest sum wins) gives the pieces.
-
-* Unigram models: an arc per piece, weight minus its score; unknown characters cost the
-  lowest score and 10 more.
-* BPE models: pieces have no additive score.  The machine's state is the last piece;
-  the arc to a next piece has weight 0 if merging their joint spelling by score yields exactly
-  those two pieces, else infinity.  A segmentation all of whose neighbours are
-  compatible is the one that the merges produce, so the only finite path is the
-  shortest; it is searched depth first, longest piece first.  (Weights over pieces alone can't
-  express merge order.)
+"""SentencePiece encoding and decoding with weighted finite-state transducers.
+
+The model file is read as plain protocol-buffer fields and compiled into machines whose arcs are tables:
+
+* ``Normaliser``: the rules of the character map (a trie of rewritings, longest match first) composed with
+  the white-space machine (dummy prefix, runs and ends of white space, space to the mark U+2581).
+* ``Lexicon``: a trie of the pieces, whose final states put out a piece and its weight, and an arc for each
+  character that no piece spells, which puts out its bytes.
+* ``Neighbours`` (BPE models): weights between two pieces.
+
+An input is composed with them, which gives a lattice of arcs between its positions, and one relaxation in the
+tropical semiring (weights add along a path, the smallest sum wins, the first found on a tie) takes the
+shortest path through it.  It is the same for both kinds of model:
+
+* Unigram models: an arc weighs minus its piece's score; an unknown character the
+  lowest score and 10 more; a user-defined piece what the library gives it.  There are no weights between pieces.
+* BPE models: pieces have no additive score, and weights over pieces alone can't
+  express merge order.  So arcs weigh nothing, and two neighbours weigh 0 if merging their joint spelling by score
+  yields exactly these two, else infinity.  A segmentation all of whose neighbours are compatible is the one that the merges
+  produce, so each prefix has one path of finite weight.  User-defined pieces are cut out first; unused ones are
+  replaced by the halves they were merged from.
 
 No piece has the mark after another character, nor a line end, so a text falls apart before each
-run of marks and at line ends; such units are composed once and remembered, within a bound.
+run of spaces and at line ends; such units are composed once and remembered, within a bound of bytes.  Long units aren't remembered.
+(Models with such pieces, or whose character map has rules over white space of several characters, take each text as one unit.)
 
-Null and empty texts have no pieces.  Decoding spells the pieces, bytes as bytes, and takes off the dummy
+Null and empty texts have no pieces; repeated rows and ids are encoded as often as they occur; a null id stays null; an
+empty table gives no rows; other columns, whatever their names, are ignored.  Decoding spells the pieces, bytes as bytes, and takes off the dummy
 prefix; it gives back every text exactly where the normaliser changes nothing else.
-A normaliser with a character map, user-defined or unused pieces and models without byte fallback raise
-``ValueError``.
+Models without byte fallback raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -30,7 +37,9 @@ import math
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -42,8 +51,9 @@ from ._common import batch, map_batches, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Units and neighbours that a worker remembers.
-MEMO = 400_000
+#: Bytes of units, and of neighbours, that a worker remembers; longer units aren't remembered.
+MEMO_BYTES = 160 << 20
+LONG_UNIT = 64
 
 #: Fixed values of the model format.
 UNIGRAM, BPE = 1, 2
@@ -99,40 +109,125 @@ class Model:
         return cls(pieces, kind, prefix, squeeze, charsmap)
 
 
-class Transducer:
-    def __init__(self, model: Model, memo: int = MEMO):
-        kinds = {k for _, _, k in model.pieces}
-        if model.charsmap or kinds & {USER_DEFINED, UNUSED} or model.kind not in (UNIGRAM, BPE):
-            raise ValueError("this transducer has no character map, user-defined or unused pieces, and only unigram and BPE models")
-        self.model, self.memo = model, memo
-        self.score = {p: s for p, s, k in model.pieces if k == NORMAL}
-        self.id = {p: i for i, (p, _, k) in enumerate(model.pieces) if k == NORMAL}
-        self.byte_id = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(model.pieces) if k == BYTE}
-        if len(self.byte_id) != 256:
-            raise ValueError("the model has no byte fallback")
-        self.longest = max(map(len, self.id), default=1)
-        self.unknown = min(self.score.values(), default=0.0) - 10.0
-        self.whole = any(MARK in p.lstrip(MARK) for p in self.id)
-        byte_of = {i: bytes([b]) for b, i in self.byte_id.items()}
-        self.spelling = [byte_of.get(i, b"" if k in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode()) for i, (p, _, k) in enumerate(model.pieces)]
-        self.reach: dict[str, int] = {}
-        for p in self.id:
-            if len(p) > 3:
-                self.reach[p[:4]] = max(self.reach.get(p[:4], 0), len(p))
-        line = "" if any("\n" in p for p in self.id) else "\n"
-        self.units = re.compile(f"{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+" + f"|{line}+" * bool(line))
-        self.known: dict[str, bytes] = {}
-        self.joins: dict[tuple[str, str], bool] = {}
-        self.path = self.merge_path if model.kind == BPE else self.score_path
-
-    # normaliser
-
-    def normalise(self, text: str) -> str:
-        if self.model.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        return ((" " if self.model.dummy_prefix and text else "") + text).replace(" ", MARK)
-
-    # pieces
+def characters(charsmap: bytes) -> dict[str, str]:
+    """The rules of a compiled character map: a double array of 32-bit units (whose length comes first), then the
+    rewritings, each closed by a zero byte, that the array's values point into."""
+    if not charsmap:
+        return {}
+    size = struct.unpack_from("<I", charsmap)[0]
+    units = np.frombuffer(charsmap, "<u4", size // 4, 4).astype(np.int64)
+    texts, rules, every = charsmap[4 + size :], {}, np.arange(1, 256)
+    below = units >> 10 << ((units & 1 << 9) >> 6)
+    left = [(int(below[0]), b"")]
+    while left:
+        at, spelled = left.pop()
+        to = at ^ every
+        byte = every[to < len(units)]
+        to = to[to < len(units)]
+        hit = units[to] & (1 << 31 | 0xFF) == byte
+        for child, byte_ in zip(to[hit].tolist(), byte[hit].tolist()):
+            next_, key = child ^ int(below[child]), spelled + bytes([byte_])
+            if units[child] >> 8 & 1:
+                begin = int(units[next_]) & 0x7FFFFFFF
+                rules[key.decode()] = texts[begin : texts.index(b"\0", begin)].decode()
+            left.append((next_, key))
+    return rules
+
+
+def trie(words: dict[str, object]) -> list[dict]:
+    """Arc tables of the machine that reads the words: ``table[state][character]`` is the next state, and
+    ``table[state][""]`` what the word that ends there puts out."""
+    table_: list[dict] = [{}]
+    for word, out in words.items():
+        state = 0
+        for c in word:
+            if c not in table_[state]:
+                table_[state][c] = len(table_)
+                table_.append({})
+            state = table_[state][c]
+        table_[state][""] = out
+    return table_
+
+
+class Normaliser:
+    """Rewrites characters, longest rule first, and feeds the white-space machine, whose states are START (nothing
+    yet), INSIDE and PENDING (white space that a further character may follow)."""
+
+    START, INSIDE, PENDING = 0, 1, 2
+
+    def __init__(self, model: Model, kept: list[str]):
+        rules = characters(model.charsmap)
+        self.plain = not rules
+        self.rewrite = trie({**rules, **{k: k for k in kept}}) if rules else trie({})
+        #: rules that a unit's border could cut
+        self.over_spaces = any(len(k) > 1 and re.search("[ \n]", k) for k in rules)
+        mark, first = MARK, MARK if model.dummy_prefix else ""
+        # state -> (on a space, on another character): (next state, what goes before the character)
+        if model.squeeze:
+            self.arcs = {self.START: ((self.START, ""), (self.INSIDE, first)), self.INSIDE: ((self.PENDING, ""), (self.INSIDE, "")), self.PENDING: ((self.PENDING, ""), (self.INSIDE, mark))}
+        else:
+            self.arcs = {self.START: ((self.INSIDE, first + mark), (self.INSIDE, first)), self.INSIDE: ((self.INSIDE, mark), (self.INSIDE, "")), self.PENDING: ((self.PENDING, ""), (self.INSIDE, ""))}
+
+    def rewritten(self, text: str) -> str:
+        if self.plain:
+            return text
+        table_, out, at = self.rewrite, [], 0
+        while at < len(text):
+            state, end, put = 0, at + 1, text[at]
+            for k in range(at, len(text)):
+                state = table_[state].get(text[k])
+                if state is None:
+                    break
+                if "" in table_[state]:
+                    end, put = k + 1, table_[state][""]
+            out.append(put)
+            at = end
+        return "".join(out)
+
+    def __call__(self, text: str, state: int) -> tuple[str, int]:
+        out = []
+        for part in re.split("( +)", self.rewritten(text)):
+            if part.startswith(" "):
+                for _ in part:
+                    state, before = self.arcs[state][0]
+                    out.append(before)
+            elif part:
+                state, before = self.arcs[state][1]
+                out += (before, part)
+        return "".join(out), state
+
+
+class Lexicon:
+    """The trie of the pieces, and the arcs that a position of an input has in the composition with it."""
+
+    def __init__(self, pieces: dict[str, float], unknown: float):
+        if min([unknown, *pieces.values()]) < 0:
+            raise ValueError("a score is positive")
+        self.unknown = array("f", [unknown])[0]
+        self.table = trie(dict(zip(pieces, array("f", pieces.values()))))
+        self.out = [state.pop("", None) for state in self.table]
+
+
+class Memo(dict):
+    """Forgets everything when what it holds exceeds so many bytes."""
+
+    def __init__(self, most: int):
+        self.most, self.held = most, 0
+
+    def keep(self, key, value, size: int):
+        self.held += size
+        if self.held > self.most:
+            self.clear()
+            self.held = size
+        self[key] = value
+        return value
+
+
+class Neighbours:
+    """Weights between two pieces of a BPE model: 0 or infinity."""
+
+    def __init__(self, score: dict[str, float], most: int):
+        self.score, self.known = score, Memo(most)
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging neighbours by score, leftmost first, yields."""
@@ -148,75 +243,145 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether the arc from piece ``a`` to piece ``b`` has weight 0; unknown characters stand alone."""
-        known = self.joins.get((a, b))
-        if known is None:
-            if len(self.joins) > self.memo:
-                self.joins.clear()
-            known = self.joins[a, b] = a not in self.id or b not in self.id or self.merged(a + b) == [a, b]
-        return known
-
-    def merge_path(self, unit: str) -> list[str]:
-        """The only path of finite weight.  The prefix that ends at a position has one
-        segmentation, so a position from which there is no path is dead whatever came before."""
-        path, dead, n, at = [], set(), len(unit), 0
-        vocabulary, compatible, reach = self.id, self.compatible, self.reach
-        length = min(reach.get(unit[:4], 3), n)
-        while at < n:
-            while length:
-                piece = unit[at : at + length]
-                if (length == 1 or piece in vocabulary) and at + length not in dead and (not path or compatible(path[-1], piece)):
-                    path.append(piece)
-                    at += length
-                    length = min(reach.get(unit[at : at + 4], 3), n - at)
-                    break
-                length -= 1
-            else:
-                dead.add(at)
-                last = path.pop()
-                at -= len(last)
-                length = len(last) - 1
+    def halves(self, piece: str) -> list[str]:
+        """What the last merge of the piece joined."""
+        parts, score = list(piece), self.score
+        while len(parts) > 2:
+            at = max(range(len(parts) - 1), key=lambda i: (score.get(parts[i] + parts[i + 1], -math.inf), -i))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def __call__(self, a: str, b: str) -> float:
+        """Unknown characters stand alone."""
+        weight = self.known.get((a, b))
+        if weight is None:
+            free = a not in self.score or b not in self.score or self.merged(a + b) == [a, b]
+            weight = self.known.keep((a, b), 0.0 if free else math.inf, 250)
+        return weight
+
+
+def shortest_path(unit: str, lexicon: Lexicon, between: Neighbours | None) -> list[str]:
+    """The labels of the path of least weight through the composition of ``unit`` with the machines.
+
+    The arcs that leave settled positions are taken by weight so far, of equal ones the furthest first, and relaxed: a
+    position is settled by its first arc of finite weight.  (Weights aren't negative.)  With weights between pieces a state is a
+    position and the piece that ends there: prefixes have one path of finite weight, so one state a position suffices."""
+    n, last, table_, put, unknown = len(unit), {}, lexicon.table, lexicon.out, lexicon.unknown
+    # where arcs weigh nothing, the arc of a furthest position is the one put there last
+    add, take = (heappush, heappop) if between is None else (list.append, list.pop)
+    known = between.known.get if between is not None else None
+    # single precision, as the library adds
+    total, left = array("f", [0.0]), [(0.0, 0, 0)]
+    while n not in last:
+        cost, to, length = take(left)
+        at = -to
+        if at in last:
+            continue
+        begin = at + length
+        if known and begin:
+            pair = unit[begin - last[begin] : begin], unit[begin:at]
+            weight = known(pair)
+            if between(*pair) if weight is None else weight:
+                continue
+        last[at] = -length
+        # the arcs that leave the position: an unknown character's, then those of longer and longer pieces
+        state, k, alone = 0, at, True
+        while k < n and (state := table_[state].get(unit[k])) is not None:
+            k += 1
+            if (weight := put[state]) is not None:
+                if alone and k > at + 1:
+                    total[0] = cost + unknown
+                    add(left, (total[0], -at - 1, -1))
+                alone = False
+                if k not in last:
+                    total[0] = cost + weight
+                    add(left, (total[0], -k, at - k))
+        if alone and at < n:
+            total[0] = cost + unknown
+            add(left, (total[0], -at - 1, -1))
+    out, at = [], n
+    while at:
+        out.append(unit[at - last[at] : at])
+        at -= last[at]
+    return out[::-1]
+
+
+class Transducer:
+    def __init__(self, model: Model, memo_bytes: int = MEMO_BYTES):
+        if model.kind not in (UNIGRAM, BPE):
+            raise ValueError("only unigram and BPE models are compiled")
+        pieces = model.pieces
+        self.model, bpe = model, model.kind == BPE
+        self.id = {p: i for i, (p, _, k) in enumerate(pieces) if k in (NORMAL, USER_DEFINED, UNUSED)}
+        self.byte_id = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
+        if len(self.byte_id) != 256:
+            raise ValueError("the model has no byte fallback")
+        normal = [s for _, s, k in pieces if k == NORMAL]
+        # the library takes no negative number for the highest score
+        least, most = min(normal, default=0.0), max([0.0, *normal])
+        self.cut = sorted((p for p, _, k in pieces if k == USER_DEFINED), key=lambda p: (-len(p), p))
+        self.unused = {p for p, _, k in pieces if k == UNUSED}
+        if bpe:
+            score = {p: s for p, s, k in pieces if k in (NORMAL, UNUSED)}
+            self.lexicon, self.between = Lexicon(dict.fromkeys(score, 0.0), 0.0), Neighbours(score, memo_bytes // 3)
+        else:
+            weight = {p: -s for p, s, k in pieces if k == NORMAL} | {p: 0.1 - len(p) * most for p in self.cut}
+            self.lexicon, self.between = Lexicon(weight, 10.0 - least), None
+        self.normaliser = Normaliser(model, self.cut)
+        self.pattern = re.compile("|".join(map(re.escape, self.cut))) if self.cut else None
+        byte_of = {i: bytes([b]) for b, i in self.byte_id.items()}
+        self.spelling = [byte_of.get(i, b"" if k in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode()) for i, (p, _, k) in enumerate(pieces)]
+        whole = self.normaliser.over_spaces or any(MARK in p.lstrip(MARK) or " " in p for p in self.id) or any(MARK in p or "\n" in p for p in self.cut)
+        if not self.normaliser.plain:
+            # line ends may be rewritten to spaces; without squeezing, a rewritten space may stand beside a unit's border
+            whole, line = whole or not model.squeeze, ""
+        else:
+            line = "" if any("\n" in p for p in self.id) else "\n"
+        self.units = None if whole else re.compile(f"[ {MARK}]+[^ {MARK}{line}]*|[^ {MARK}{line}]+" + f"|{line}+" * bool(line))
+        #: by the normaliser's state before the unit
+        self.known = [Memo(memo_bytes) for _ in range(3)]
+
+    def path(self, unit: str) -> list[str]:
+        """The pieces (and characters without a piece) of a normalised unit."""
+        if self.between is None:
+            return shortest_path(unit, self.lexicon, None)
+        out, at = [], 0
+        for m in self.pattern.finditer(unit) if self.pattern else ():
+            out += shortest_path(unit[at : m.start()], self.lexicon, self.between) + [m.group()]
+            at = m.end()
+        return self.used(out + shortest_path(unit[at:] if at else unit, self.lexicon, self.between))
+
+    def used(self, path: list[str]) -> list[str]:
+        while self.unused and any(p in self.unused and len(p) > 1 for p in path):
+            path = [q for p in path for q in (self.between.halves(p) if p in self.unused and len(p) > 1 else [p])]
         return path
 
-    def score_path(self, unit: str) -> list[str]:
-        best, back = [0.0] + [math.inf] * len(unit), [0] * (len(unit) + 1)
-        for at in range(len(unit)):
-            for length in range(1, min(self.longest, len(unit) - at) + 1):
-                s = self.score.get(unit[at : at + length], self.unknown if length == 1 else None)
-                if s is not None and best[at] - s < best[at + length]:
-                    best[at + length], back[at + length] = best[at] - s, at
-        out, at = [], len(unit)
-        while at:
-            out.append(unit[back[at] : at])
-            at = back[at]
-        return out[::-1]
-
-    # byte fallback and the composition
-
-    def compose(self, unit: str) -> bytes:
+    def compose(self, unit: str, state: int) -> tuple[bytes, int]:
+        """The ids of a unit of a text, and the normaliser's state after it."""
+        normal, state = self.normaliser(unit, state)
         ids = []
-        for piece in self.path(unit):
+        for piece in self.path(normal):
             if (i := self.id.get(piece)) is not None:
                 ids.append(i)
             else:
                 ids += [self.byte_id[b] for b in piece.encode("utf-8", "replace")]
-        return np.array(ids, "<u4").tobytes()
+        return np.array(ids, "<u4").tobytes(), state
 
     def encode(self, text: str) -> bytes:
         """The ids, little-endian unsigned 32-bit."""
         if not text:
             return b""
-        normal = self.normalise(text)
-        units = [normal] if self.whole else self.units.findall(normal)
-        known, out = self.known, []
-        for u in units:
-            ids = known.get(u)
-            if ids is None:
-                if len(known) > self.memo:
-                    known.clear()
-                ids = known[u] = self.compose(u)
-            out.append(ids)
+        if self.units is None:
+            return self.compose(text, Normaliser.START)[0]
+        known, out, state = self.known, [], Normaliser.START
+        for unit in self.units.findall(text):
+            found = known[state].get(unit)
+            if found is None:
+                found = self.compose(unit, state)
+                if len(unit) <= LONG_UNIT:
+                    known[state].keep(unit, found, 250 + 4 * len(unit) + len(found[0]))
+            out.append(found[0])
+            state = found[1]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
