@@ -2,16 +2,16 @@
 
 Vectors are compared only within a label, by cosine in double precision.  Equal vectors
 are one class first.  The two halves of the normalised vectors have a codebook each
-(k-means on a bounded sample); a vector lies in the cell of its nearest pair of
-centroids.  A query visits, in no order, all cells for which a lower bound of its squared distance
-to them (the sum of the halves' distances to the Voronoi borders) is at most a stop, the same for
-all queries, that ``calibrate`` sets for a target recall; every vector in a visited cell is then
-verified.  A traversal in the order of the bound would visit the same cells.
+(k-means on a bounded sample, with a number of centroids that grows with the vectors); a vector lies in the
+cell of the product grid that its nearest pair of centroids names.  A query traverses the cells by the multi-sequence
+algorithm, nearest first, by a lower bound of its squared distance to them (the sum of the halves' distances to the Voronoi
+borders), until the bound exceeds a stop that ``calibrate`` sets for a target recall; every vector in a visited cell
+is then verified.
 
-A query travels once to each first-half slab it visits, with the second-half cells it wants
-there as a bit mask.  Slabs are cut into blocks of at most about ``BLOCK`` rows on either
-side, so a hot cell is many tasks' work; a block returns, for each query, how many vectors
-it links to, and a spanning forest of its links rather than the links.
+Rows are keyed by label and cell.  Each vector lies once in its own cell and travels once to each visited cell that
+comes after it, so a pair meets at most once.  Cells are runs of rows sorted within a partition, a stream of batches; a cell of more
+than ``BLOCK`` rows is cut into blocks on either side, so a hot cell is many tasks' work.  A block returns, for each vector,
+how many vectors it links to there, and a spanning forest of its links rather than the links.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
 label, link with nothing.  Vectors of different lengths don't link.  A null vec_id takes part;
@@ -20,6 +20,9 @@ repeated rows are copies of each other; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +32,16 @@ from ._common import Scratch, map_batches, table
 from .components import components
 
 COSINE = 0.98
-#: Vectors that the codebooks and the stop are fitted on, at most.
-SAMPLE = 8192
+#: Vectors of a length that the codebooks and the stop are fitted on, at most.
+SAMPLE = 32_768
 RECALL = 0.9999
 BLOCK = 2048
-CENTROIDS_MOST = 256
+#: Vectors of a label that a cell holds on average, so long as a centroid has this many of the sample.
+OCCUPANCY, SAMPLE_EACH = 64, 8
+#: Hot cells that are sent to every task (their number is checked); more are joined by a shuffle.
+HOT_MOST = 100_000
+#: Lengths of vectors that one run takes, each with an index of its own.
+LENGTHS_MOST = 1000
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -99,28 +107,42 @@ class MultiIndex:
             found.append(l1[at, a] + l2[at, b])
         return float(min(most, np.quantile(np.concatenate(found), recall) * 1.2)) + 1e-12
 
-    def visits(self, x: np.ndarray):
-        """For each first-half cell: the rows that visit it and their masks of second-half cells."""
-        l1, l2 = self.bounds(x)
-        for c in range(len(self.books[0])):
-            rows = np.flatnonzero(l1[:, c] <= self.stop)
-            if len(rows):
-                yield c, rows, l2[rows] <= (self.stop - l1[rows, c])[:, None]
+    def visits(self, x: np.ndarray) -> Iterator[tuple[int, int]]:
+        """``(row, cell)`` of every cell that a row visits."""
+        size = len(self.books[1])
+        for row, (a, b) in enumerate(zip(*self.bounds(x))):
+            for i, j in multi_sequence(a, b, self.stop):
+                yield row, i * size + j
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        first, second = self.cells(x)
+        return first * len(self.books[1]) + second
+
+
+def multi_sequence(a: np.ndarray, b: np.ndarray, stop: float) -> Iterator[tuple[int, int]]:
+    """The pairs ``(i, j)`` with ``a[i] + b[j] <= stop``, smallest sums first, each once."""
+    first, second = (h[np.argsort(x[h], kind="stable")] for x, h in ((a, np.flatnonzero(a <= stop)), (b, np.flatnonzero(b <= stop))))
+    x, y, first, second = a[first].tolist(), b[second].tolist(), first.tolist(), second.tolist()
+    ahead = [(x[0] + y[0], 0, 0)] if x and y else []
+    while ahead and ahead[0][0] <= stop:
+        _, i, j = heappop(ahead)
+        yield first[i], second[j]
+        if j + 1 < len(y):
+            heappush(ahead, (x[i] + y[j + 1], i, j + 1))
+        if j == 0 and i + 1 < len(x):
+            heappush(ahead, (x[i + 1] + y[0], i + 1, 0))
 
 
-def link_block(queries: np.ndarray, masks: np.ndarray, q_ids: np.ndarray, data: np.ndarray, cells: np.ndarray, d_ids: np.ndarray, d_copies: np.ndarray, cosine: float = COSINE):
-    """``(links of each query, spanning forest of the links as pairs of ids)``."""
-    n, linked = np.zeros(len(queries), np.int64), np.zeros((len(queries), len(data)), bool)
+def link_block(queries: np.ndarray, q_ids: np.ndarray, q_copies: np.ndarray, foreign: np.ndarray, data: np.ndarray, d_ids: np.ndarray, d_copies: np.ndarray, cosine: float = COSINE):
+    """``(ids, links of each, spanning forest of the links as pairs of ids)``.
+
+    Links count for the queries, and also for the data where the query is ``foreign`` (it meets them only here)."""
     q_norm, d_norm = np.sqrt((queries * queries).sum(1)), np.sqrt((data * data).sum(1))
-    for c in np.unique(cells):
-        some, those = np.flatnonzero(masks[:, c]), np.flatnonzero(cells == c)
-        if len(some):
-            hit = queries[some] @ data[those].T / np.outer(q_norm[some], d_norm[those]) >= cosine
-            linked[np.ix_(some, those)] = hit & (q_ids[some][:, None] != d_ids[those][None])
-    n = linked @ d_copies
+    linked = (queries @ data.T / np.outer(q_norm, d_norm) >= cosine) & (q_ids[:, None] != d_ids[None])
+    ids, n = np.concatenate([q_ids, d_ids]), np.concatenate([linked @ d_copies, q_copies[foreign] @ linked[foreign]])
     rows, columns = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
     if not len(rows):
-        return n, np.zeros((0, 2), np.int64)
+        return ids[:0], n[:0], np.zeros((0, 2), np.int64)
     linked = linked[np.ix_(rows, columns)]
     a, b = q_ids[rows].copy(), d_ids[columns].copy()
     most = np.iinfo(np.int64).max
@@ -131,7 +153,7 @@ def link_block(queries: np.ndarray, masks: np.ndarray, q_ids: np.ndarray, data:
             break
         a, b = a2, b2
     pairs = np.concatenate([np.stack([q_ids[rows], a], 1), np.stack([d_ids[columns], b], 1)])
-    return n, np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    return ids[n > 0], n[n > 0], np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
 def classes(vectors: DataFrame) -> DataFrame:
@@ -141,8 +163,8 @@ def classes(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.coalesce(usable, F.lit(False)) & F.col("label").isNotNull()).groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
 
 
-PLACED = "dim int, label string, slab int, query boolean, id long, copies long, cell int, mask binary, embedding array<double>"
-_PLACED = pa.schema([("dim", pa.int32()), ("label", pa.string()), ("slab", pa.int32()), ("query", pa.bool_()), ("id", pa.int64()), ("copies", pa.int64()), ("cell", pa.int32()), ("mask", pa.binary()), ("embedding", pa.list_(pa.float64()))])
+#: ``foreign``: a query from another cell.
+PLACED = "dim int, label string, cell long, foreign boolean, id long, copies long, embedding array<{}>"
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -150,7 +172,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def placed(spark: SparkSession, found: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
-    """Every vector once in its own slab, and as a query in each slab it visits."""
+    """Every vector in its own cell, and as a foreign query in each cell it visits that comes after that."""
     shared = spark.sparkContext.broadcast(indexes)
 
     def run(batches):
@@ -161,58 +183,99 @@ def placed(spark: SparkSession, found: DataFrame, indexes: dict[int, MultiIndex]
                 index = shared.value[dim]
                 for at in range(0, part.num_rows, 1024):
                     some = part.slice(at, 1024)
-                    raw = matrix(some.column(3), dim)
-                    x = normalised(raw)
-                    label, ids, copies = (some.column(i) for i in range(3))
-
-                    def rows(pick, slab, query, cell, mask, x=raw, label=label, ids=ids, copies=copies):
-                        n = len(pick)
-                        take = pa.array(pick)
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, dim * n + 1, dim, dtype=np.int32)), pa.array(x[pick].ravel()))
-                        return pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), label.take(take), pa.array(slab), pa.array(np.full(n, query)), ids.take(take), copies.take(take), pa.array(cell), pa.array(mask, pa.binary()), lists], schema=_PLACED)
-
-                    first, second = index.cells(x)
-                    everyone = np.arange(len(x))
-                    yield rows(everyone, first.astype(np.int32), False, second.astype(np.int32), [None] * len(x))
-                    for c, pick, mask in index.visits(x):
-                        bits = [m.tobytes() for m in np.packbits(mask, axis=1)]
-                        yield rows(pick, np.full(len(pick), c, np.int32), True, np.full(len(pick), -1, np.int32), bits)
+                    x = normalised(matrix(some.column(3), dim))
+                    own = index.own(x)
+                    visits = np.array([(r, c) for r, c in index.visits(x) if c > own[r]], np.int64).reshape(-1, 2)
+                    for pick, cells, foreign in ((np.arange(len(x)), own, False), (visits[:, 0], visits[:, 1], True)):
+                        for lo in range(0, len(pick), 4096):
+                            take = some.take(pa.array(pick[lo : lo + 4096]))
+                            n = take.num_rows
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), take.column(0), pa.array(cells[lo : lo + n].astype(np.int64)), pa.array(np.full(n, foreign)), *take.columns[1:]], names=["dim", "label", "cell", "foreign", "id", "copies", "embedding"])
 
-    return map_batches(found.select(F.col("label").cast("string"), "id", "copies", F.col("embedding").cast("array<double>")), run, PLACED)
+    kind = found.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind in ("float", "double") else "double"
+    return map_batches(found.select(F.col("label").cast("string"), "id", "copies", F.col("embedding").cast(f"array<{kind}>")), run, PLACED.format(kind))
 
 
 LINKED = "a long, b long, n long"
 _LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+DATA, OWN, FOREIGN, BOTH = range(4)
+
+
+def linked(rows: DataFrame, scratch: Scratch, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """``(a, null, n)``: a vector's links in a block; ``(a, b, null)``: a link, or a step of a spanning forest."""
+    key = ["dim", "label", "cell"]
+    sizes = rows.groupBy(*key).agg(F.sum((~F.col("foreign")).cast("long")).alias("own"), F.count("*").alias("all")).filter((F.col("own") > 0) & (F.col("all") > block))
+    hot = scratch.keep(sizes.select(*key, F.ceil(F.col("all") / block).cast("int").alias("q_blocks"), F.ceil(F.col("own") / block).cast("int").alias("d_blocks")), "hot")
+    rows = rows.join(F.broadcast(hot) if hot.count() <= HOT_MOST else hot, key, "left")
+
+    def every(blocks: str, role: int, q, d):
+        return F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda i: F.struct(F.lit(role).alias("role"), q(i).alias("q"), d(i).alias("d")))
+
+    q, d = (F.pmod(F.hash("id", F.lit(x)), F.col(f"{x}_blocks")) for x in "qd")
+    alone = F.array(F.struct(F.when(F.col("foreign"), FOREIGN).otherwise(BOTH).alias("role"), F.lit(0).alias("q"), F.lit(0).alias("d")))
+    own = F.concat(every("q_blocks", DATA, lambda i: i, lambda i: d), every("d_blocks", OWN, lambda i: q, lambda i: i))
+    dealt = rows.withColumn("_at", F.explode(F.when(F.col("q_blocks").isNull(), alone).when(F.col("foreign"), every("d_blocks", FOREIGN, lambda i: q, lambda i: i)).otherwise(own)))
+    columns = [*key, "q", "d"]
+    dealt = dealt.select(*key, F.col("_at.q").alias("q"), F.col("_at.d").alias("d"), F.col("_at.role").alias("role"), "id", "copies", "embedding")
+    dealt = dealt.repartition(*columns).sortWithinPartitions(*columns)
+
+    def met(parts: list[pa.RecordBatch]):
+        group = pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if len(parts) > 1 else parts[0]
+        role = group.column(5).to_numpy()
+        as_data, as_query = (role == DATA) | (role == BOTH), role != DATA
+        if len(role) < 2 or not as_data.any() or not as_query.any():
+            return None
+        ids, copies, x = group.column(6).to_numpy(), group.column(7).to_numpy(), matrix(group.column(8), group.column(0)[0].as_py())
+        return link_block(x[as_query], ids[as_query], copies[as_query], role[as_query] == FOREIGN, x[as_data], ids[as_data], copies[as_data], cosine)
 
-
-def linked(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """``(a, null, n)``: a query's links in a block; ``(a, b, null)``: a link, or a step of a spanning forest."""
-    key = ["dim", "label", "slab"]
-    sizes = rows.groupBy(*key).agg(*(F.ceil(F.sum((F.col("query") == q).cast("long")) / block).cast("int").alias(name) for q, name in ((True, "q_blocks"), (False, "d_blocks"))))
-    rows = rows.join(sizes, key).filter("q_blocks > 0 AND d_blocks > 0")
-
-    def dealt(side: str, own: str, other: str) -> DataFrame:
-        mine = rows.filter("query" if side == "q" else "NOT query").withColumn(f"{side}_block", F.pmod(F.hash("id"), F.col(own)))
-        return mine.withColumn("d_block" if side == "q" else "q_block", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-
-    both = dealt("q", "q_blocks", "d_blocks").unionByName(dealt("d", "d_blocks", "q_blocks")).drop("q_blocks", "d_blocks")
-
-    def run(group: pa.Table) -> pa.Table:
-        dim = group.column("dim")[0].as_py()
-        is_query = group.column("query").combine_chunks()
-        q, d = group.filter(is_query), group.filter(pa.compute.invert(is_query))
-        if not q.num_rows or not d.num_rows:
-            return _LINKED.empty_table()
-        masks = np.unpackbits(np.frombuffer(b"".join(q.column("mask").to_pylist()), np.uint8).reshape(q.num_rows, -1), axis=1).astype(bool)
-        q_ids, d_ids = q.column("id").to_numpy(), d.column("id").to_numpy()
-        n, forest = link_block(matrix(q.column("embedding").combine_chunks(), dim), masks, q_ids, matrix(d.column("embedding").combine_chunks(), dim), d.column("cell").to_numpy(), d_ids, d.column("copies").to_numpy(), cosine)
-        some = np.flatnonzero(n)
-        none = pa.nulls(len(some), pa.int64())
-        counts = pa.Table.from_arrays([pa.array(q_ids[some]), none, pa.array(n[some])], schema=_LINKED)
-        steps = pa.Table.from_arrays([pa.array(forest[:, 0]), pa.array(forest[:, 1]), pa.nulls(len(forest), pa.int64())], schema=_LINKED)
-        return pa.concat_tables([counts, steps])
-
-    return both.groupBy(*key, "q_block", "d_block").applyInArrow(run, LINKED)
+    def run(batches):
+        open_, out, held = [], [], 0
+
+        def flush():
+            n = [len(i) for i, _, _ in out]
+            steps = np.concatenate([f for _, _, f in out])
+            a = np.concatenate([*(i for i, _, _ in out), steps[:, 0]])
+            none, some = pa.nulls(sum(n), pa.int64()), pa.nulls(len(steps), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.concat_arrays([none, pa.array(steps[:, 1])]), pa.concat_arrays([pa.array(np.concatenate([k for _, k, _ in out])), some])], schema=_LINKED)
+
+        def close(parts):
+            nonlocal held
+            found = met(parts) if parts else None
+            if found is not None and len(found[0]):
+                out.append(found)
+                held += len(found[0]) + len(found[2])
+
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            values = [np.array(b.column(i).to_pylist(), object) if i == 1 else b.column(i).to_numpy() for i in range(5)]
+            new = np.zeros(b.num_rows, bool)
+            for v in values:
+                new[1:] |= v[1:] != v[:-1]
+            first = tuple(v[0] for v in values)
+            new[0] = first != last
+            last = tuple(v[-1] for v in values)
+            cuts = [0, *(c for c in np.flatnonzero(new).tolist() if c), b.num_rows]
+            for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                if k or new[0]:
+                    close(open_)
+                    open_ = []
+                open_.append(b.slice(lo, hi - lo))
+                if held > 50_000:
+                    yield flush()
+                    out, held = [], 0
+        close(open_)
+        if out:
+            yield flush()
+
+    return map_batches(dealt, run, LINKED)
+
+
+def centroids(n: int, labels: int, sample: int) -> int:
+    """Of each codebook, so that a cell of a label holds OCCUPANCY vectors, if the sample has SAMPLE_EACH for each."""
+    return int(max(2, min((n / max(1, labels) / OCCUPANCY) ** 0.5, sample / SAMPLE_EACH)))
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
@@ -223,18 +286,22 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COS
     found = classes(vectors).withColumn("id", F.coalesce("first", F.xxhash64("label", "embedding")))
     found = scratch.keep(found, "classes")
     indexes = {}
-    for r in found.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect():
+    lengths = found.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).limit(LENGTHS_MOST + 1).collect()
+    if len(lengths) > LENGTHS_MOST:
+        raise ValueError(f"more than {LENGTHS_MOST} lengths of vectors")
+    for r in lengths:
         rows = found.filter(F.size("embedding") == r["dim"]).orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col("embedding").cast("array<double>").alias("e")).toArrow()
         x = normalised(matrix(rows.column("e").combine_chunks(), r["dim"]))
-        indexes[r["dim"]] = MultiIndex(x, int(min(CENTROIDS_MOST, max(4, (r["n"] / 10) ** 0.5))), cosine, recall)
-    rows = scratch.keep(linked(scratch.keep(placed(spark, found, indexes), "placed"), cosine), "linked")
+        indexes[r["dim"]] = MultiIndex(x, centroids(r["n"], r["labels"], len(x)), cosine, recall)
+    rows = scratch.keep(linked(scratch.keep(placed(spark, found, indexes), "placed"), scratch, cosine), "linked")
     scratch.drop("placed")
     label = components(rows.filter("b IS NOT NULL").select("a", "b"), scratch, "components")
     counts = rows.filter("n IS NOT NULL").groupBy("a").agg(F.sum("n").alias("n"))
     known = found.join(counts, found["id"] == counts["a"], "left").join(label.withColumnRenamed("id", "_id"), found["id"] == F.col("_id"), "left")
     known = known.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("g"), F.col("first"))
     known = scratch.keep(known, "known")
-    smallest = known.groupBy("g").agg(F.min("first").alias("component_id"))
+    # written, so that the join has an exchange on both sides and Spark can split a large component
+    smallest = scratch.keep(known.groupBy("g").agg(F.min("first").alias("component_id")), "smallest")
     known = known.join(smallest, "g").select("label", "embedding", "n_links", "component_id")
     out = vectors.join(known, ["label", "embedding"], "left")
     component = F.coalesce("component_id", "vec_id")
