@@ -184,7 +184,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _query(spark, sf_dir, MIN_RUN)
 
 
-def op6_substring_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def substring_dedup_every_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every later occurrence goes, however short its run."""
     return _query(spark, sf_dir, 0)
 

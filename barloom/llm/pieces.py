@@ -268,37 +268,46 @@ def shortest_path(unit: str, lexicon: Lexicon, between: Neighbours | None) -> li
     position and the piece that ends there: prefixes have one path of finite weight, so one state a position suffices."""
     n, last, table_, put, unknown = len(unit), {}, lexicon.table, lexicon.out, lexicon.unknown
     # where arcs weigh nothing, the arc of a furthest position is the one put there last
-    add, take = (heappush, heappop) if between is None else (list.append, list.pop)
-    known = between.known.get if between is not None else None
+    flat = between is not None
+    known = between.known.get if flat else None
     # single precision, as the library adds
-    total, left = array("f", [0.0]), [(0.0, 0, 0)]
-    while n not in last:
-        cost, to, length = take(left)
-        at = -to
-        if at in last:
-            continue
-        begin = at + length
-        if known and begin:
-            pair = unit[begin - last[begin] : begin], unit[begin:at]
-            weight = known(pair)
-            if between(*pair) if weight is None else weight:
-                continue
-        last[at] = -length
+    total, left, cost = array("f", [0.0]), [], 0.0
+    at = begin = length = 0
+    while True:
+        last[at] = length
+        if at == n:
+            break
         # the arcs that leave the position: an unknown character's, then those of longer and longer pieces
-        state, k, alone = 0, at, True
-        while k < n and (state := table_[state].get(unit[k])) is not None:
+        state, k = table_[0].get(unit[at]), at + 1
+        weight = None if state is None else put[state]
+        if flat:
+            left.append((at, k))
+        else:
+            total[0] = cost + (unknown if weight is None else weight)
+            heappush(left, (total[0], -k, -1))
+        while state is not None and k < n and (state := table_[state].get(unit[k])) is not None:
             k += 1
             if (weight := put[state]) is not None:
-                if alone and k > at + 1:
-                    total[0] = cost + unknown
-                    add(left, (total[0], -at - 1, -1))
-                alone = False
-                if k not in last:
+                if flat:
+                    left.append((at, k))
+                else:
                     total[0] = cost + weight
-                    add(left, (total[0], -k, at - k))
-        if alone and at < n:
-            total[0] = cost + unknown
-            add(left, (total[0], -at - 1, -1))
+                    heappush(left, (total[0], -k, at - k))
+        while True:
+            if flat:
+                begin, at = left.pop()
+            else:
+                cost, at, begin = heappop(left)
+                at, begin = -at, begin - at
+            if at in last:
+                continue
+            if flat and begin:
+                pair = unit[begin - last[begin] : begin], unit[begin:at]
+                weight = known(pair)
+                if between(*pair) if weight is None else weight:
+                    continue
+            length = at - begin
+            break
     out, at = [], n
     while at:
         out.append(unit[at - last[at] : at])

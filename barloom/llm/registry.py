@@ -11,7 +11,7 @@ QUERIES = {
     "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
     "op5_embedding_near_dedup": vectordedup.op5_embedding_near_dedup,
     "op6_substring_dedup": linededup.op6_substring_dedup,
-    "op6_substring_dedup_all": linededup.op6_substring_dedup_all,
+    "substring_dedup_every_unit": linededup.substring_dedup_every_unit,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_sentencepiece": pieces.op9_sentencepiece,
@@ -23,5 +23,5 @@ SQL = {
     "op2_ngram_jaccard_join": ngramjoin.SQL,
     "op5_embedding_near_dedup": vectordedup.SQL,
     "op6_substring_dedup": linededup.SQL,
-    "op6_substring_dedup_all": linededup.SQL_ALL,
+    "substring_dedup_every_unit": linededup.SQL_ALL,
 }

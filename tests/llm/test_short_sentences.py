@@ -20,7 +20,7 @@ def test_query_like_duckdb(spark):
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
-    df = registry.QUERIES["op6_substring_dedup_all"](spark, data)
-    rel = con.sql(registry.SQL["op6_substring_dedup_all"])
+    df = registry.QUERIES["substring_dedup_every_unit"](spark, data)
+    rel = con.sql(registry.SQL["substring_dedup_every_unit"])
     at = [rel.columns.index(c) for c in df.columns]
     assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
