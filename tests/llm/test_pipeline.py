@@ -32,5 +32,5 @@ def test_near_copies_stage_is_exact(spark):
 
 
 def test_every_query_is_registered():
-    numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
+    numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op"))
     assert numbers == list(range(1, 11)) and set(registry.SQL) <= set(registry.QUERIES)
