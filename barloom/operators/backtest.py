@@ -185,8 +185,9 @@ def sharpe_sensitivities(p: float, n: float, win: float, lose: float, h: float =
     base = {"p": p, "n": n, "win": win, "lose": lose}
     out = {}
     for k, v in base.items():
-        up, down = (asymmetric_sharpe(**(base | {k: v + s * h * max(1.0, abs(v))})) for s in (1, -1))
-        out[k] = (up - down) / (2 * h * max(1.0, abs(v)))
+        step = h * (abs(v) or 1.0)
+        up, down = (asymmetric_sharpe(**(base | {k: v + s * step})) for s in (1, -1))
+        out[k] = (up - down) / (2 * step)
     return out
 
 

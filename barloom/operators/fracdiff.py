@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 from ..functions.columns import KEYS, ORDER, running
 from .fold import fold
 
-#: Weights at most; a negative order's weights never get small.
-LONGEST = 10_000
+#: A window of more weights is an error; a negative order's weights never get small.
+LONGEST = 1_000_000
 
 
 def ffd_weights(d: float, least: float = 1e-5, longest: int = LONGEST) -> np.ndarray:
-    """Weights of (1 - L) ** d, oldest first, cut where they fall below ``least`` in size."""
+    """Weights of (1 - L) ** d, oldest first, cut where they fall below ``least`` in size; ValueError if ``longest`` of them aren't enough."""
     w = [1.0]
-    while len(w) < longest:
+    while True:
         k = len(w)
         nxt = -w[-1] * (d - k + 1) / k
         if abs(nxt) < least:
-            break
+            return np.array(w[::-1])
+        if k >= longest:
+            raise ValueError(f"order {d} has more than {longest} weights of {least} or more")
         w.append(nxt)
-    return np.array(w[::-1])
 
 
 def ffd(df: DataFrame, column: str, d: float, least: float = 1e-5, out: str = "ffd", keys=KEYS, order=ORDER) -> DataFrame:

@@ -126,7 +126,8 @@ def jarque_bera(df: DataFrame, column: str, keys=KEYS) -> DataFrame:
 
 
 def _ffd_array(x: np.ndarray, d: float, least: float) -> np.ndarray:
-    w = ffd_weights(d, least, max(2, len(x)))[::-1]
+    """Nothing where the series is shorter than the window."""
+    w = ffd_weights(d, least)[::-1]
     return np.convolve(x, w, "valid") if len(x) >= len(w) else x[:0]
 
 

@@ -139,31 +139,100 @@ def tick_imbalance_ids(spark, sf):
     return B.imbalance_bar_ids(X.trades(spark, sf), alpha_ticks=ALPHA, alpha_flow=ALPHA, expected_flow=FLOW, expected_ticks=EXPECTED).select("symbol", "seq", "bar_id", "tick_sign")
 
 
-@query()
+SIGNS = """moves AS (SELECT *, CASE WHEN price > lag(price) OVER w THEN 1 WHEN price < lag(price) OVER w THEN -1 END AS m FROM numbered WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
+signs AS (SELECT *, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY rn ROWS UNBOUNDED PRECEDING), 1) AS b FROM moves)"""
+
+
+def sql_signed_bars(weight: str, flow: float, run: bool) -> str:
+    """Imbalance or run bars as a recursion over the trades of a symbol; the weight is a column expression over ``s``."""
+    share, rest = f"{ALPHA}::DOUBLE", f"{1 - ALPHA}::DOUBLE"
+    bought = "s.b > 0"
+    if run:
+        state = {"buys": "0.0", "sells": "0.0", "share": "0.5", "buy": f"{flow}", "sell": f"{flow}"}
+        step = {
+            "buys": f"CASE WHEN f.closes THEN 0 ELSE f.buys END + CASE WHEN {bought} THEN {weight} ELSE 0 END",
+            "sells": f"CASE WHEN f.closes THEN 0 ELSE f.sells END + CASE WHEN {bought} THEN 0 ELSE {weight} END",
+            "share": f"{share} * ({bought})::INTEGER + {rest} * f.share",
+            "buy": f"CASE WHEN {bought} THEN {share} * {weight} + {rest} * f.buy ELSE f.buy END",
+            "sell": f"CASE WHEN {bought} THEN f.sell ELSE {share} * {weight} + {rest} * f.sell END",
+        }
+        closes, expected = "greatest(buys, sells) >= thr", "greatest(share * buy, (1 - share) * sell)"
+    else:
+        state = {"theta": "0.0", "flow": f"{flow}"}
+        step = {"theta": f"CASE WHEN f.closes THEN 0 ELSE f.theta END + s.b * {weight}", "flow": f"{share} * (s.b * {weight}) + {rest} * f.flow"}
+        closes, expected = "abs(theta) >= thr", "abs(flow)"
+    names = ", ".join(state)
+    ticks = f"({share} * t + {rest} * et)"
+    return f"""WITH RECURSIVE {X.SQL_TRADES}, {NUMBERED}, {SIGNS},
+fold AS (
+  SELECT symbol, 1::BIGINT AS rn, 0::BIGINT AS bar_id, 0.0::DOUBLE AS t, {", ".join(f"{v}::DOUBLE AS {k}" for k, v in state.items())}, {EXPECTED}::DOUBLE AS et, {EXPECTED * flow}::DOUBLE AS thr, false AS closes
+  FROM numbered WHERE rn = 1
+  UNION ALL
+  SELECT symbol, rn, bar_id, t, {names}, CASE WHEN closes THEN {ticks} ELSE et END, CASE WHEN closes THEN {ticks} * {expected} ELSE thr END, closes
+  FROM (SELECT *, {closes} AS closes FROM (
+    SELECT s.symbol, s.rn, f.bar_id + f.closes::INTEGER AS bar_id, CASE WHEN f.closes THEN 0 ELSE f.t END + 1 AS t, {", ".join(f"{v} AS {k}" for k, v in step.items())}, f.et, f.thr
+    FROM fold f JOIN signs s ON s.symbol = f.symbol AND s.rn = f.rn + 1))
+),
+ids AS (SELECT n.*, f.bar_id, f.closes FROM numbered n JOIN fold f USING (symbol, rn) WHERE rn > 1)""" + SQL_OHLCV + " HAVING bool_or(closes)"
+
+
+@query(sql_signed_bars("s.quantity", 25.0, False))
 def volume_imbalance_bars(spark, sf):
     return _bars(B.imbalance_bars(X.trades(spark, sf), kind="volume", expected_flow=25.0))
 
 
-@query()
+@query(sql_signed_bars("(s.price * s.quantity)", 2500.0, False))
 def dollar_imbalance_bars(spark, sf):
     return _bars(B.imbalance_bars(X.trades(spark, sf), kind="dollar", expected_flow=2500.0))
 
 
-@query()
+@query(sql_signed_bars("1.0::DOUBLE", 1.0, True))
 def tick_run_bars(spark, sf):
     return _bars(B.imbalance_bars(X.trades(spark, sf), kind="tick", run=True, expected_flow=1.0))
 
 
-@query()
+@query(sql_signed_bars("s.quantity", 50.0, True))
 def volume_run_bars(spark, sf):
     return _bars(B.imbalance_bars(X.trades(spark, sf), kind="volume", run=True, expected_flow=50.0))
 
 
-@query()
+@query(sql_signed_bars("(s.price * s.quantity)", 5000.0, True))
 def dollar_run_bars(spark, sf):
     return _bars(B.imbalance_bars(X.trades(spark, sf), kind="dollar", run=True, expected_flow=5000.0))
 
 
+def _raw(spark, sf):
+    t = X.trades(spark, sf)
+    return t.select(F.col("symbol").cast("string").alias("symbol"), F.unix_millis("ts").alias("timestamp"), F.col("seq").alias("id"), "price", F.col("quantity").alias("volume"), "side")
+
+
+@query(
+    f"""WITH {X.SQL_TRADES} SELECT symbol::VARCHAR AS symbol, {X.sql_us("ts")} // 1000 * 1000 AS ts_us, seq AS id, row_number() OVER (ORDER BY {X.sql_us("ts")} // 1000, symbol::VARCHAR, seq) AS place, price, quantity, sign FROM trades"""
+)
+def csv_files_combined(spark, sf):
+    """Two CSV files of different column orders, written, read by a glob, combined and sorted by time."""
+    folder = T.scratch_folder(spark, "csv")
+    raw = _raw(spark, sf)
+    T.write_csv(raw.filter("id % 2 = 0"), f"{folder}/even")
+    T.write_csv(raw.filter("id % 2 = 1").select("side", "volume", "price", "id", "timestamp", "symbol"), f"{folder}/odd")
+    kinds = "symbol string, timestamp long, id long, price double, volume double, side string"
+    parts = [T.read_csv(spark, f"{folder}/{name}", kinds) for name in ("even", "odd")]
+    both = T.concat(*parts).select("symbol", F.timestamp_millis("timestamp").alias("ts"), F.col("id").alias("seq"), "price", F.col("volume").alias("quantity"), T.side_sign("side").alias("sign"))
+    placed = T.with_place(T.sorted_trades(both), ["ts", "symbol", "seq"])
+    return placed.select("symbol", us("ts").alias("ts_us"), F.col("seq").alias("id"), "place", "price", "quantity", "sign")
+
+
+@query(f"WITH b AS ({sql_threshold_bars('quantity', VOLUME) + SQL_OHLCV + ' HAVING bool_or(closes)'}) SELECT symbol::VARCHAR AS symbol, ts_us, open, high, low, close, vwap, volume FROM b")
+def csv_bars_read_back(spark, sf):
+    """Bars to a CSV sink and back, one symbol's file layout."""
+    folder = T.scratch_folder(spark, "bars")
+    b = B.volume_bars(X.trades(spark, sf), VOLUME)
+    T.write_csv(b.select(F.col("symbol").cast("string").alias("symbol"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), "open", "high", "low", "close", "vwap", "volume"), folder)
+    rows = T.read_csv(spark, folder, "symbol string, timestamp string, open double, high double, low double, close double, vwap double, volume double")
+    rows = rows.withColumn("ts", F.to_timestamp("timestamp"))
+    return rows.select("symbol", us("ts").alias("ts_us"), "open", "high", "low", "close", q6("vwap").alias("vwap"), "volume")
+
+
 @query(
     f"""WITH RECURSIVE {X.SQL_TRADES}, {NUMBERED}, fold AS (
       SELECT symbol, rn, 0.2 * price + 0.8 * 100.0 AS e FROM numbered WHERE rn = 1

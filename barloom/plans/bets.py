@@ -368,7 +368,19 @@ def strategy_risk(spark, sf):
     return g.select("k", q6(K.symmetric_sharpe(p, n)).alias("sharpe"), q6(K.implied_precision(sr, n)).alias("precision"), q6(K.implied_frequency(sr, p)).alias("frequency"), q6(K.asymmetric_sharpe(p, n, 0.02, -0.01)).alias("asymmetric"))
 
 
-@query()
+CHARACTER = f"""WITH {CLOSES}, p AS (SELECT *, sin(seq / 7.0::DOUBLE) AS position, lag(close) OVER w AS before FROM c WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
+v AS (SELECT *, coalesce(lag(position) OVER w, 0) AS held FROM p WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
+b AS (SELECT symbol, min(ts) AS first, max(ts) AS last, avg(abs(position * close)) AS mean_value, max(abs(position * close)) / nullif(avg(abs(position * close)), 0) AS leverage, avg((position > 0)::INTEGER) AS longs,
+      sum(abs(position - held) * close) AS traded, sum(held * (close - before)) AS pnl, sum(0.001::DOUBLE * (abs(position - held) * close)) AS cost FROM v GROUP BY symbol),
+n AS (SELECT *, (sign(position) <> coalesce(lag(sign(position)) OVER w, 0))::INTEGER AS new FROM v WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY rn) AS bet FROM n),
+s AS (SELECT symbol, bet, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400e6 AS days FROM g WHERE position <> 0 GROUP BY symbol, bet), h AS (SELECT symbol, count(*) AS n_bets, avg(days) AS days FROM s GROUP BY symbol),
+y AS (SELECT *, (epoch_us(last) - epoch_us(first)) / (365.25::DOUBLE * 86400e6) AS years FROM b LEFT JOIN h USING (symbol))
+SELECT symbol, {X.sql_us("first")} AS first_us, {X.sql_us("last")} AS last_us, coalesce(n_bets, 0)::BIGINT AS n_bets, {Q("mean_value")} AS mean_value, {Q("leverage")} AS leverage, {Q("longs")} AS ratio_of_longs, {Q("days")} AS holding_days,
+       {Q("coalesce(n_bets, 0) / nullif(years, 0)")} AS bets_a_year, {Q("traded / nullif(mean_value, 0) / nullif(years, 0)")} AS annual_turnover, {Q("pnl")} AS pnl, {Q("pnl / nullif(cost, 0)")} AS return_on_execution_costs FROM y"""
+
+
+@query(CHARACTER)
 def strategy_characteristics(spark, sf):
     c = closes(spark, sf).withColumn("price", F.col("close")).withColumn("position", F.sin(F.col("seq") / 7.0).cast("double")).withColumn("ret", pct_change("close")).withColumn("cost", F.lit(0.001))
     out = K.characteristics(c)
@@ -391,6 +403,53 @@ def attribution(spark, sf):
     return K.attribution(X.trades(spark, sf).withColumn("pnl", F.col("price")), "side").select("symbol", "side", q6("pnl").alias("pnl"), q6("share").alias("share"))
 
 
+GRID = "g AS (SELECT i AS k, 0.52::DOUBLE + i * 0.01::DOUBLE AS p, 50.0::DOUBLE + i * 10 AS n, 0.02::DOUBLE AS w, -0.015::DOUBLE - i * 0.0005::DOUBLE AS l FROM range(30) t(i)), d AS (SELECT *, sqrt(p * (1 - p)) AS q, w - l AS span FROM g)"
+
+
+def _fourth(x: str) -> str:
+    return f"floor(({x}) * 1e4 + 0.5) / 1e4"
+
+
+@query(
+    f"""WITH {GRID} SELECT k, {_fourth("sqrt(n) * (1 / q - (span * p + l) * (1 - 2 * p) / (2 * span * q * q * q))")} AS by_p, {_fourth("(span * p + l) / (span * q) / (2 * sqrt(n))")} AS by_n,
+    {_fourth("-sqrt(n) * l / (span * span * q)")} AS by_win, {_fourth("sqrt(n) * w / (span * span * q)")} AS by_lose FROM d"""
+)
+def sharpe_sensitivities(spark, sf):
+    """The derivatives of the asymmetric Sharpe ratio by precision, frequency and either payout."""
+    rows = []
+    for k in range(30):
+        got = K.sharpe_sensitivities(0.52 + k * 0.01, 50.0 + k * 10, 0.02, -0.015 - k * 0.0005)
+        rows.append((k, *(got[x] for x in ("p", "n", "win", "lose"))))
+    df = spark.createDataFrame(rows, "k long, by_p double, by_n double, by_win double, by_lose double")
+    return df.select("k", *((F.floor(F.col(c) * 1e4 + 0.5) / 1e4).alias(c) for c in df.columns[1:]))
+
+
+MIXED = """g AS (SELECT i AS k, 0.1::DOUBLE + i * 0.02::DOUBLE AS a, -0.02::DOUBLE AS m1, 0.03::DOUBLE AS s1, 0.01::DOUBLE + i * 0.0005::DOUBLE AS m2, 0.015::DOUBLE AS s2, 24 + i AS n FROM range(30) t(i)),
+m AS (SELECT *, a * m1 + (1 - a) * m2 AS mu FROM g),
+c AS (SELECT *, a * (s1 * s1 + pow(m1 - mu, 2)) + (1 - a) * (s2 * s2 + pow(m2 - mu, 2)) AS c2, a * (pow(m1 - mu, 3) + 3 * (m1 - mu) * s1 * s1) + (1 - a) * (pow(m2 - mu, 3) + 3 * (m2 - mu) * s2 * s2) AS c3,
+      a * (pow(m1 - mu, 4) + 6 * pow(m1 - mu, 2) * s1 * s1 + 3 * pow(s1, 4)) + (1 - a) * (pow(m2 - mu, 4) + 6 * pow(m2 - mu, 2) * s2 * s2 + 3 * pow(s2, 4)) AS c4 FROM m),
+z AS (SELECT *, mu / sqrt(c2) AS sr, c3 / pow(c2, 1.5) AS sk, c4 / (c2 * c2) AS ku FROM c),
+t AS (SELECT *, (sr - 0.05::DOUBLE) * sqrt(n - 1::DOUBLE) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr) AS z FROM z)"""
+
+
+@query(f"WITH {MIXED} SELECT k, {_fourth('sr')} AS sharpe, {_fourth('sk')} AS skew, {_fourth('ku')} AS kurtosis, {_fourth(PHI('z'))} AS psr FROM t")
+def mixture_psr(spark, sf):
+    """Probabilistic Sharpe ratio of returns that are a mixture of two normals."""
+    rows = []
+    for k in range(30):
+        parts = [(0.1 + k * 0.02, -0.02, 0.03), (1 - (0.1 + k * 0.02), 0.01 + k * 0.0005, 0.015)]
+        mean, var, skew, kurtosis = K.mixture_moments(parts)
+        rows.append((k, mean / var**0.5, skew, kurtosis, K.mixture_psr(parts, 24 + k, 0.05)))
+    df = spark.createDataFrame(rows, "k long, sharpe double, skew double, kurtosis double, psr double")
+    return df.select("k", *((F.floor(F.col(c) * 1e4 + 0.5) / 1e4).alias(c) for c in df.columns[1:]))
+
+
+@query(f"SELECT k, {Q('m / d')} AS monthly, {Q('m / d * sqrt(12::DOUBLE)')} AS annual FROM (SELECT i AS k, 0.001::DOUBLE * (i + 1) AS m, 0.02::DOUBLE + 0.001::DOUBLE * i AS d FROM range(20) t(i))")
+def annual_sharpe(spark, sf):
+    rows = [(k, *K.annual_sharpe(0.001 * (k + 1), 0.02 + 0.001 * k, 12)) for k in range(20)]
+    return spark.createDataFrame(rows, "k long, monthly double, annual double").select("k", q6("monthly").alias("monthly"), q6("annual").alias("annual"))
+
+
 # simulated rules
 
 OU = f"""{SERIES}, d AS (SELECT symbol, close - lag(close) OVER (ORDER BY rn) AS y, lag(close) OVER (ORDER BY rn) AS x FROM c),
@@ -402,7 +461,11 @@ def ou_estimates(spark, sf):
     return O.estimate_ou(daily(spark, sf)).select("symbol", "n", *(q6(c).alias(c) for c in ("phi", "mean", "sigma")))
 
 
-@query()
+@query(
+    f"""WITH {OU}, m AS (SELECT symbol, avg(close) AS m, stddev_samp(d) AS sd FROM (SELECT *, close - lag(close) OVER (ORDER BY rn) AS d FROM c) GROUP BY symbol)
+    SELECT symbol, n, {Q("CASE WHEN n >= 20 AND b <> 0 THEN -a / b ELSE m END")} AS mean, {Q("CASE WHEN n >= 20 THEN sqrt(greatest(syy - b * sxy, 0) / n) ELSE sd END")} AS sigma,
+           {Q("CASE WHEN n >= 20 AND 1 + b > 0 AND 1 + b < 1 THEN -ln(2::DOUBLE) / ln(1 + b) ELSE 50 END")} AS half_life FROM s JOIN m USING (symbol)"""
+)
 def ou_with_fallback(spark, sf):
     d = daily(spark, sf)
     return O.with_fallback(O.estimate_ou(d), d).select("symbol", "n", *(q6(c).alias(c) for c in ("mean", "sigma", "half_life")))

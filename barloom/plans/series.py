@@ -291,7 +291,10 @@ def lempel_ziv(spark, sf):
     return lz(spark, sf).select("symbol", "subset", "n", "phrases", q6("rate").alias("rate"))
 
 
-@query()
+@query(
+    f"""WITH e AS (WITH {SUBSETS}, k AS (SELECT symbol, subset, code, count(*) / 100.0::DOUBLE AS p FROM t GROUP BY ALL) SELECT symbol, subset, CASE WHEN count(*) > 1 THEN -sum(p * log2(p)) ELSE 0 END AS entropy FROM k GROUP BY symbol, subset),
+    z AS ({PHRASES}) SELECT symbol, {Q("corr(entropy, phrases / n * log2(n))")} AS corr FROM e JOIN z USING (symbol, subset) GROUP BY symbol"""
+)
 def entropy_correlation(spark, sf):
     plug_in = N.plug_in_entropy(N.tail_subsets(N.encode_binary(rets(spark, sf))), keys=("symbol", "subset"))
     both = plug_in.join(lz(spark, sf).drop("n"), ["symbol", "subset"])

@@ -6,6 +6,7 @@ Every row has a ``seq`` that is unique within its symbol; ``(ts, seq)`` is its p
 
 from __future__ import annotations
 
+import uuid
 import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -119,3 +120,31 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def sorted_trades(df: DataFrame) -> DataFrame:
     """Global time order with a tie-breaker; frames without a time column are returned as they are."""
     return df.orderBy(*(c for c in ("ts", "symbol", "seq") if c in df.columns)) if "ts" in df.columns else df
+
+
+def with_place(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """The place of each row in a global order, from 1: ranges of the order are numbered apart and shifted by the sizes of those before."""
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("_part").orderBy(*order)
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    # as many rows as partitions
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.row_number().over(inside)).drop("_part", "_before")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A folder of CSV files; columns are matched by the header, in any order, missing ones are null."""
+    raw = spark.read.option("header", True).csv(path)
+    kinds = dict(c.split() for c in schema.split(", "))
+    return raw.select(*(F.col(c).try_cast(k).alias(c) if c in raw.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()))
+
+
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A new folder that the driver and all executors share; it goes when the driver ends."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = f"{(found or 'file:///tmp/barloom-scratch').rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return root
