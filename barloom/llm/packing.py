@@ -9,7 +9,7 @@ pieces within their length and joins each rank to its planned slot.
 
 A length may hold any share of all pieces: ranks are taken per
 ``(length, salt)`` and shifted by the sizes of the lower salts, with as many salts as
-the most frequent length needs for parts of PART_PIECES, so no task gets a whole length.  Null and empty texts are documents of the single end token;
+each length needs for parts of PART_PIECES, so no task gets a whole length.  Null and empty texts are documents of the single end token;
 repeated rows are packed as often as they occur; ties between equal lengths are
 broken by ``(doc_id, piece)``; an empty table packs to no rows; other columns
 are ignored.
@@ -34,7 +34,7 @@ CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Ranks within a length are taken in independent parts of about so many pieces.
-PART_PIECES = 100_000
+PART_PIECES = 1_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -148,8 +148,9 @@ def assign(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, par
     # one row per length, at most `capacity`
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = plan_best_fit(histogram, capacity)
-    salts = 1 + max(histogram.values(), default=0) // part
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    # at most `capacity` numbers
+    salts = F.element_at(F.array(*(F.lit(1 + histogram.get(n, 0) // part) for n in range(1, capacity + 1))), F.col("length").cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), salts).cast("int"))
     parts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     lower = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     lowered = parts.select("length", "_salt", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_base"))
