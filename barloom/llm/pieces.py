@@ -21,7 +21,8 @@ shortest path through it.  It is the same for both kinds of model:
   replaced by the halves they were merged from.
 
 No piece has the mark after another character, nor a line end, so a text falls apart before each
-run of spaces and at line ends; such units are composed once and remembered, within a bound of bytes.  Long units aren't remembered.
+run of spaces and at line ends, and between a Latin letter and a mark that follows none in any piece (``closers``); such units are
+composed once and remembered, within a bound of bytes.  Long units aren't remembered.
 (Models with such pieces, or whose character map has rules over white space of several characters, take each text as one unit.)
 
 Null and empty texts have no pieces; repeated rows and ids are encoded as often as they occur; a null id stays null; an
@@ -38,8 +39,10 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
+from itertools import pairwise
+from string import punctuation
 
 import numpy as np
 import public_tokenizers
@@ -163,6 +166,7 @@ class Normaliser:
         self.over_spaces = any(len(k) > 1 and re.search("[ \n]", k) for k in rules)
         mark, first = MARK, MARK if model.dummy_prefix else ""
         # state -> (on a space, on another character): (next state, what goes before the character)
+        self.first = None if model.squeeze else first
         if model.squeeze:
             self.arcs = {self.START: ((self.START, ""), (self.INSIDE, first)), self.INSIDE: ((self.PENDING, ""), (self.INSIDE, "")), self.PENDING: ((self.PENDING, ""), (self.INSIDE, mark))}
         else:
@@ -185,6 +189,10 @@ class Normaliser:
         return "".join(out)
 
     def __call__(self, text: str, state: int) -> tuple[str, int]:
+        if self.first is not None:
+            # without squeezing each space is a mark, whatever stands beside it: the arcs of a whole text at once
+            out = self.rewritten(text).replace(" ", MARK)
+            return (self.first + out if state == self.START and out else out), self.INSIDE if out else state
         out = []
         for part in re.split("( +)", self.rewritten(text)):
             if part.startswith(" "):
@@ -208,6 +216,16 @@ class Lexicon:
         self.out = [state.pop("", None) for state in self.table]
 
 
+#: Latin letters.
+LETTER = "[A-Za-zÀ-ɏ]"
+
+
+def closers(pieces: Iterable[str]) -> str:
+    """The marks of ASCII that follow a Latin letter in no piece."""
+    inside = {y for p in pieces for x, y in pairwise(p) if re.match(LETTER, x)}
+    return "".join(c for c in punctuation if c not in inside)
+
+
 class Memo(dict):
     """Forgets everything when what it holds exceeds so many bytes."""
 
@@ -266,7 +284,9 @@ def shortest_path(unit: str, lexicon: Lexicon, between: Neighbours | None) -> li
     The arcs that leave settled positions are taken by weight so far, of equal ones the furthest first, and relaxed: a
     position is settled by its first arc of finite weight.  (Weights aren't negative.)  With weights between pieces a state is a
     position and the piece that ends there: prefixes have one path of finite weight, so one state a position suffices."""
-    n, last, table_, put, unknown = len(unit), {}, lexicon.table, lexicon.out, lexicon.unknown
+    n, table_, put, unknown = len(unit), lexicon.table, lexicon.out, lexicon.unknown
+    # the length of the arc that settled each position
+    last = [-1] * (n + 1)
     # where arcs weigh nothing, the arc of a furthest position is the one put there last
     flat = between is not None
     known = between.known.get if flat else None
@@ -299,12 +319,13 @@ def shortest_path(unit: str, lexicon: Lexicon, between: Neighbours | None) -> li
             else:
                 cost, at, begin = heappop(left)
                 at, begin = -at, begin - at
-            if at in last:
+            if last[at] >= 0:
                 continue
             if flat and begin:
                 pair = unit[begin - last[begin] : begin], unit[begin:at]
-                weight = known(pair)
-                if between(*pair) if weight is None else weight:
+                if (weight := known(pair)) is None:
+                    weight = between(*pair)
+                if weight:
                     continue
             length = at - begin
             break
@@ -346,8 +367,11 @@ class Transducer:
             whole, line = whole or not model.squeeze, ""
         else:
             line = "" if any("\n" in p for p in self.id) else "\n"
-        self.units = None if whole else re.compile(f"[ {MARK}]+[^ {MARK}{line}]*|[^ {MARK}{line}]+" + f"|{line}+" * bool(line))
-        #: by the normaliser's state before the unit
+        # a character map may rewrite characters together that no piece has together
+        close = re.escape(closers(self.id)) if self.normaliser.plain and not self.cut else ""
+        close = f"[ {MARK}]*+{LETTER}++(?=[{close}])|" if close else ""
+        self.units = None if whole else re.compile(f"{close}[ {MARK}]+[^ {MARK}{line}]*|[^ {MARK}{line}]+" + f"|{line}+" * bool(line))
+        #: ids by the normaliser's state before the unit, of units that end inside a text
         self.known = [Memo(memo_bytes) for _ in range(3)]
 
     def path(self, unit: str) -> list[str]:
@@ -374,7 +398,7 @@ class Transducer:
                 ids.append(i)
             else:
                 ids += [self.byte_id[b] for b in piece.encode("utf-8", "replace")]
-        return np.array(ids, "<u4").tobytes(), state
+        return struct.pack(f"<{len(ids)}I", *ids), state
 
     def encode(self, text: str) -> bytes:
         """The ids, little-endian unsigned 32-bit."""
@@ -384,13 +408,14 @@ class Transducer:
             return self.compose(text, Normaliser.START)[0]
         known, out, state = self.known, [], Normaliser.START
         for unit in self.units.findall(text):
-            found = known[state].get(unit)
-            if found is None:
-                found = self.compose(unit, state)
-                if len(unit) <= LONG_UNIT:
-                    known[state].keep(unit, found, 250 + 4 * len(unit) + len(found[0]))
-            out.append(found[0])
-            state = found[1]
+            if (ids := known[state].get(unit)) is None:
+                before = state
+                ids, state = self.compose(unit, before)
+                if len(unit) <= LONG_UNIT and state == Normaliser.INSIDE:
+                    known[before].keep(unit, ids, 210 + 2 * len(unit) + len(ids))
+            else:
+                state = Normaliser.INSIDE
+            out.append(ids)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

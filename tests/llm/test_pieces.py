@@ -142,3 +142,15 @@ def test_table(spark):
         text = next((t or "" for a, t, _ in rows if a == r["doc_id"]), "")
         assert (r["decoded_chars"], r["decoded_crc32"]) == (len(text), zlib.crc32(text.encode()))
     assert P.decode_digests(P.encode_table(df.limit(0))).count() == 0
+
+
+def test_borders_before_marks():
+    """A mark is cut off where no piece has it after a letter, and only there."""
+    assert "," in P.closers(["a", "b", ",", "ab", '",']) and "," not in P.closers(["a", ",", "a,"])
+    for pieces in (["a,", "a", "b", ",", "ab"], ["a", "b", ",", "ab"]):
+        model = P.Model([("<unk>", 0.0, 2), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), *((p, -float(k), 1) for k, p in enumerate(pieces)), (P.MARK, -9.0, 1)], P.BPE)
+        machine = P.Transducer(model)
+        text = "ab, a,b,, ba,\nab, é,a"
+        whole = machine.compose(text, P.Normaliser.START)[0]
+        assert machine.encode(text) == whole and machine.encode(text) == whole
+        assert machine.decode(whole) == text
