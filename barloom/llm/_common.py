@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only in local mode where the session names no ``spark.checkpoint.dir``.
 FALLBACK_DIR = "file:///tmp/barloom-checkpoints"
 #: Texts are taken in parts of about so many bytes (a longer text is a part of its own).
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 #: Arrow batches hold about so many bytes, whatever the length of the texts (unless the session says otherwise).
 BATCH_BYTES = 4 << 20
 _BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
