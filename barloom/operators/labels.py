@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import KEYS, full, pct_change, rows, running, series
+from ..functions.columns import KEYS, complete, full, pct_change, ratio, rows, running, series, sign
 from .joins import asof_forward, interval_join
 
 
@@ -21,7 +21,7 @@ def triple_barrier(bars: DataFrame, events: DataFrame, profit: float = 1.0, loss
     """TOUCHES: for each event the first time its return (times side) is above ``profit * trgt`` (``pt``) or below
     ``-loss * trgt`` (``sl``), strictly, on the bars in ``[t0, t1]`` (to the last bar if ``t1`` is null); a
     multiplier of 0 switches a barrier off.  ``first_touch`` is the earliest of the three."""
-    ret = (F.col("close") / F.col("_p0") - 1) * F.col("side")
+    ret = (ratio("close", "_p0") - 1) * F.col("side")
     path = _path(bars, events, bucket_seconds).withColumn("_r", ret)
     touch = path.groupBy("symbol", "t0").agg(
         F.min(F.when(F.lit(loss > 0) & (F.col("_r") < -F.lit(float(loss)) * F.col("trgt")), F.col("ts"))).alias("sl"),
@@ -38,11 +38,11 @@ def return_labels(bars: DataFrame, events: DataFrame, end: str = "t1", apply_sid
     live = events.filter(F.col(end).isNotNull())
     a = asof_forward(live, px, ["_p"], at="t0").withColumnRenamed("_p", "_p0").drop("match_ts")
     b = asof_forward(a, px, ["_p"], at=end).withColumnRenamed("_p", "_p1").drop("match_ts")
-    ret = F.col("_p1") / F.col("_p0") - 1
+    ret = ratio("_p1", "_p0") - 1
     if apply_side:
         ret = ret * F.col("side")
         return b.select("symbol", "t0", F.col(end).alias("t1"), ret.alias("ret"), (ret > 0).cast("int").alias("bin"))
-    return b.select("symbol", "t0", F.col(end).alias("t1"), ret.alias("ret"), F.signum(ret).cast("int").alias("bin"))
+    return b.select("symbol", "t0", F.col(end).alias("t1"), ret.alias("ret"), sign(ret).alias("bin"))
 
 
 def vertical_labels(bars: DataFrame, events: DataFrame, bucket_seconds: int = 86_400, event_grid: bool = False) -> DataFrame:
@@ -54,11 +54,11 @@ def vertical_labels(bars: DataFrame, events: DataFrame, bucket_seconds: int = 86
     if event_grid:
         ends = live.select("symbol", F.col("t0").alias("ts")).unionByName(live.select("symbol", F.col("t1").alias("ts"))).distinct()
         grid = bars.join(ends, ["symbol", "ts"], "left_semi")
-    path = _path(grid, live, bucket_seconds).withColumn("_r", F.col("close") / F.col("_p0") - 1)
+    path = _path(grid, live, bucket_seconds).withColumn("_r", ratio("close", "_p0") - 1)
     hit = F.col("_r").isNotNull() & (F.abs("_r") >= F.col("trgt"))
     found = path.groupBy("symbol", "t0", "t1").agg(F.min(F.when(hit, F.struct("ts", F.col("_r").alias("r")))).alias("_h"), F.max(F.struct("ts", F.col("_r").alias("r"))).alias("_l"))
     at = F.coalesce("_h", "_l")
-    return found.select("symbol", "t0", F.coalesce(F.col("_h.ts"), F.col("t1")).alias("t1"), at["r"].alias("ret"), F.when(F.col("_h").isNotNull(), F.signum(F.col("_h.r"))).otherwise(0).cast("int").alias("bin"))
+    return found.select("symbol", "t0", F.coalesce(F.col("_h.ts"), F.col("t1")).alias("t1"), at["r"].alias("ret"), F.when(F.col("_h").isNotNull(), sign("_h.r")).otherwise(0).alias("bin"))
 
 
 def drop_rare_labels(labels: DataFrame, least_share: float = 0.05) -> DataFrame:
@@ -112,7 +112,7 @@ def rolling_autocorr(bars: DataFrame, window: int = 5, out: str = "serial_corr")
 def meta_target(labels: DataFrame, features: DataFrame) -> DataFrame:
     """SAMPLES: features at ``t0`` beside the label with -1 taken as 0; rows with a null go."""
     binary = F.element_at(F.create_map(F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(-1), F.lit(0)), F.col("bin"))
-    return features.withColumnRenamed("ts", "t0").join(labels.select("symbol", "t0", "t1", binary.alias("bin")), ["symbol", "t0"]).na.drop()
+    return features.withColumnRenamed("ts", "t0").join(labels.select("symbol", "t0", "t1", binary.alias("bin")), ["symbol", "t0"]).transform(complete)
 
 
 def primary_predictions(events: DataFrame) -> DataFrame:
