@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import KEYS, ORDER, diff, sample_kurtosis, sample_skew, series
+from ..functions.columns import KEYS, ORDER, diff, pct_change, ratio, sample_kurtosis, sample_skew, series
 from .fold import fold
 
 AT = F.struct
@@ -250,8 +250,7 @@ def micro_features(ids: DataFrame) -> DataFrame:
 
 def bar_returns(bars: DataFrame) -> DataFrame:
     """Bars with ``ret``, the simple return of the close."""
-    w = series()
-    return bars.withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1)
+    return bars.withColumn("ret", pct_change("close"))
 
 
 def return_statistics(bars: DataFrame) -> DataFrame:
@@ -260,7 +259,10 @@ def return_statistics(bars: DataFrame) -> DataFrame:
     rows = bar_returns(bars).filter("ret IS NOT NULL")
     rows = rows.withColumn("_lag", F.lag("ret").over(series()))
     a, b = F.when(F.col("_lag").isNotNull(), F.col("ret")), F.col("_lag")
-    jb = F.count("*") / 6 * (F.skewness("ret") * F.skewness("ret") + F.kurtosis("ret") * F.kurtosis("ret") / 4)
+    # in two passes: moments that are updated row by row lose digits
+    rows = rows.join(rows.groupBy(*KEYS).agg(F.avg("ret").alias("_m")), list(KEYS))
+    m2, m3, m4 = (F.avg(F.pow(F.col("ret") - F.col("_m"), F.lit(float(k)))) for k in (2, 3, 4))
+    jb = F.count("*") / 6 * (ratio(m3 * m3, F.pow(m2, F.lit(3.0))) + F.pow(ratio(m4, m2 * m2) - 3, F.lit(2.0)) / 4)
     out = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), F.var_samp("ret").alias("variance"), F.try_divide(F.covar_samp(a, b), F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0))).alias("autocorr"), jb.alias("jarque_bera"))
     return out.withColumn("p_value", F.exp(-F.col("jarque_bera") / 2))
 

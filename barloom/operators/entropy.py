@@ -35,7 +35,7 @@ def encode_sigma(df: DataFrame, column: str = "ret", out: str = "code", keys=KEY
     x = F.col(column)
     code = F.lit(0)
     for k in (-2, -1, 0, 1, 2):
-        code = code + (x >= k * F.col("_s")).cast("int")
+        code = code + (x >= (k * F.col("_s") if k else F.lit(0.0))).cast("int")
     return df.join(sd, list(keys)).withColumn(out, code).drop("_s")
 
 

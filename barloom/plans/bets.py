@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import diff, pct_change, q6, us
+from ..functions.columns import diff, pct_change, q6, us, whole
 from ..functions.normal import norm_cdf_sql as PHI
 from ..operators import backtest as K
 from ..operators import bars as B
@@ -256,7 +256,7 @@ EQUITY = f"{RETS}, e AS (SELECT *, floor(exp(sum(ln(1 + ret)) OVER (PARTITION BY
 
 
 def equity(spark, sf):
-    return K.equity(rets(spark, sf)).withColumn("equity", F.floor(F.col("equity") * 1e9 + 0.5).cast("double") / 1e9)
+    return K.equity(rets(spark, sf)).withColumn("equity", whole(F.col("equity") * 1e9 + 0.5) / 1e9)
 
 
 @query(f"WITH {EQUITY} SELECT symbol, seq, {Q('equity')} AS equity, {Q('1 - equity / max(equity) OVER (PARTITION BY symbol ORDER BY rn)')} AS drawdown FROM e")
