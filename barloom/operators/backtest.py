@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import chain
+from operator import add
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEYS, pair_corr, running, series
 from ..functions.normal import norm_cdf
+from .fold import fold
 
 EULER = 0.5772156649015329
 
@@ -43,10 +48,31 @@ def time_concentration(df: DataFrame, with_empty_days: bool = True, keys=KEYS) -
 
 def equity(df: DataFrame, column: str = "ret", keys=KEYS) -> DataFrame:
     """``equity``: the compounded growth of 1 (null from a loss of all on)."""
-    grown = F.when(F.col(column) > -1, F.ln(1 + F.col(column)))
-    total = F.sum(grown).over(running(keys))
-    lost = F.max(F.when(F.col(column) <= -1, 1).otherwise(0)).over(running(keys))
-    return df.withColumn("equity", F.when(lost == 0, F.exp(F.coalesce(total, F.lit(0.0)))))
+
+    def machine():
+        # sums of 16 ** k logarithms each: the exponential shows the error of a sum that is carried from row to row
+        levels, lost = [[]], False
+
+        def step(values):
+            nonlocal lost
+            out = []
+            for v in values:
+                lost = lost or (v is not None and v <= -1)
+                levels[0].append(math.log(1 + v) if v is not None and not lost else 0.0)
+                k = 0
+                while len(levels[k]) == 16:
+                    if k + 1 == len(levels):
+                        levels.append([])
+                    levels[k + 1].append(reduce(add, levels[k], 0.0))
+                    levels[k] = []
+                    k += 1
+                total = reduce(add, chain.from_iterable(reversed(levels)), 0.0)
+                out.append(None if lost else math.exp(total) if not total > 709 else float(np.exp(total)))
+            return (out,)
+
+        return step
+
+    return fold(df, machine, [column], {"equity": "double"}, keys)
 
 
 def high_water_drawdowns(df: DataFrame, column: str = "equity", dollars: bool = False, keys=KEYS) -> DataFrame:
