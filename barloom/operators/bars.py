@@ -259,8 +259,8 @@ def return_statistics(bars: DataFrame) -> DataFrame:
     rows = bar_returns(bars).filter("ret IS NOT NULL")
     rows = rows.withColumn("_lag", F.lag("ret").over(series()))
     a, b = F.when(F.col("_lag").isNotNull(), F.col("ret")), F.col("_lag")
-    # in two passes: moments that are updated row by row lose digits
-    rows = rows.join(rows.groupBy(*KEYS).agg(F.avg("ret").alias("_m")), list(KEYS))
+    # in two passes, as moments that are updated row by row lose digits; a window, so that both add in the order of time
+    rows = rows.withColumn("_m", F.avg("ret").over(Window.partitionBy(*KEYS)))
     m2, m3, m4 = (F.avg(F.pow(F.col("ret") - F.col("_m"), F.lit(float(k)))) for k in (2, 3, 4))
     jb = F.count("*") / 6 * (ratio(m3 * m3, F.pow(m2, F.lit(3.0))) + F.pow(ratio(m4, m2 * m2) - 3, F.lit(2.0)) / 4)
     out = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), F.var_samp("ret").alias("variance"), F.try_divide(F.covar_samp(a, b), F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0))).alias("autocorr"), jb.alias("jarque_bera"))
